@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, url_filter
+from stratalog.llm import chat_format, pieces, url_filter
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
@@ -67,8 +67,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op6_chat_format)}
+    return {f.__name__: f for f in (op3_url_filter, op6_chat_format, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
