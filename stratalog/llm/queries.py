@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, personal_data, pieces, url_filter
+from stratalog.llm import chat_format, personal_data, pieces, url_filter, vector_search
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
@@ -37,6 +37,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.entries(spark, RULES), url_filter.entries(spark, LISTED))
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["k"] == personal_data.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -85,7 +89,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op5_personal_data, op6_chat_format, op9_pieces)}
+    return {f.__name__: f for f in (op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
