@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, personal_data, pieces, url_filter, vector_search
+from stratalog.llm import chat_format, jaccard_join, personal_data, pieces, url_filter, vector_search
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
@@ -88,8 +88,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op9_pieces)}
+    return {f.__name__: f for f in (op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op9_pieces, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
