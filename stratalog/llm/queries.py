@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, jaccard_join, personal_data, pieces, url_filter, vector_search
+from stratalog.llm import chat_format, decontaminate, jaccard_join, personal_data, pieces, toxicity, url_filter, vector_search
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
@@ -37,6 +37,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.entries(spark, RULES), url_filter.entries(spark, LISTED))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +82,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -93,7 +102,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op9_pieces, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op7_decontaminate, op9_pieces, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
