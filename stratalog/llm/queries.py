@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, decontaminate, jaccard_join, personal_data, pieces, toxicity, url_filter, vector_search
+from stratalog.llm import chat_format, decontaminate, jaccard_join, personal_data, pieces, toxicity, url_filter, vector_search, warc
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LISTED = [("spam-farm.example.org", "/", "block"), ("spam-farm.example.com", "/", "block"), ("spam-farm.example.net", "/", "block"), ("cheap-pills.example.org", "/", "block"), ("cheap-pills.example.com", "/", "block"), ("cheap-pills.example.net", "/", "block")]
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((
+    (cast(('0x' || substr(x || '0', 1 + cast((i * 5) // 4 AS BIGINT), 2)) AS BIGINT) >> (3 - (i * 5) % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -102,8 +118,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op7_decontaminate, op9_pieces, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_warc, op2_toxicity, op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op7_decontaminate, op9_pieces, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL}
