@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_format, decontaminate, jaccard_join, personal_data, pieces, toxicity, url_filter, vector_search, warc
+from stratalog.llm import chat_format, decontaminate, jaccard_join, personal_data, pieces, suffix_dedup, toxicity, url_filter, vector_search, warc
 from stratalog.llm.common import table
 
 #: Fixed values of the query: rules (host, path, verdict) and listed sites.
@@ -113,12 +113,18 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_toxicity, op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op7_decontaminate, op9_pieces, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_warc, op2_toxicity, op3_url_filter, op4_vector_search, op5_personal_data, op6_chat_format, op7_decontaminate, op8_suffix_dedup, op9_pieces, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
