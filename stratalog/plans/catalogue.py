@@ -5,15 +5,347 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.functions import codecs
+from stratalog.model import FILM_CURVES
+from stratalog.operators import archive, catalog, chunk, container, ledger, log, overlay, spectral
+from stratalog.plans import adapters
+from stratalog.plans.adapters import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+_ASSETS = """WITH assets AS (SELECT doc_id AS idx, concat_ws('/', lang, source, doc_id) AS path, (strlen(coalesce(text, '')) + 2) // 3 AS stored_size,
+  strlen(coalesce(text, '')) AS original_size, 8 AS wrap_type, lang AS grp, source FROM documents)
+"""
+_LOG = """WITH e AS (SELECT user_id AS log, ts, event_id, cast(event_id % 9 AS INT) AS type, cast(floor(epoch(ts)) AS BIGINT) AS timestamp, cast(floor(value * 100) AS BIGINT) AS stored_size, event_type,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events)
+"""
+_PAGES = """WITH r AS (SELECT page_id AS idx, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS rest, strlen(html) AS size FROM pages),
+p AS (SELECT split_part(rest, '/', 1) AS archive, idx, regexp_replace(rest, '^[^/]*', '') AS path, size FROM r)
+"""
+_LEDGER = """WITH o AS (SELECT o_custkey AS key, o_orderkey AS event, cast(floor(epoch(o_orderdate)) AS BIGINT) AS ts FROM orders),
+l AS (SELECT *, greatest(0, (ts - min(ts) OVER (PARTITION BY key)) // 2592000) AS epoch FROM o)
+"""
+
+
+@query(_ASSETS + "SELECT grp, count(*) AS assets, sum(stored_size)::BIGINT AS stored, sum(original_size)::BIGINT AS original, round(sum(stored_size) / nullif(sum(original_size), 0), 6) AS ratio FROM assets WHERE starts_with(path, 'en/') GROUP BY grp")
+def asset_prefix_totals(spark, sf_dir):
+    return catalog.totals(catalog.find_prefix(adapters.assets(spark, sf_dir), "en/"), "grp")
+
+
+@query(_ASSETS + "SELECT count(*) AS assets, sum(stored_size)::BIGINT AS stored, sum(original_size)::BIGINT AS original, round(sum(stored_size) / nullif(sum(original_size), 0), 6) AS ratio FROM assets")
+def asset_totals(spark, sf_dir):
+    return catalog.totals(adapters.assets(spark, sf_dir))
+
+
+@query(_ASSETS + "SELECT idx, path, original_size FROM assets WHERE path = 'en/src1/1' ORDER BY idx LIMIT 1")
+def asset_find_first(spark, sf_dir):
+    return catalog.find_first(adapters.assets(spark, sf_dir), "en/src1/1").select("idx", "path", "original_size")
+
+
+@query(_ASSETS + "SELECT idx, path FROM assets WHERE grp = 'fr' ORDER BY idx LIMIT 25")
+def asset_find_group(spark, sf_dir):
+    return catalog.find_group(adapters.assets(spark, sf_dir), "fr", 25).select("idx", "path")
+
+
+@query(_ASSETS + "SELECT idx, path FROM assets WHERE wrap_type = 8 ORDER BY idx LIMIT 40")
+def asset_find_type(spark, sf_dir):
+    return catalog.find_type(adapters.assets(spark, sf_dir), 8, 40).select("idx", "path")
+
+
+@query(_ASSETS + "SELECT idx, path, source, stored_size, coalesce(sum(stored_size) OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM assets")
+def asset_offsets(spark, sf_dir):
+    return catalog.with_offsets(adapters.assets(spark, sf_dir), "source").select("idx", "path", "source", "stored_size", "offset")
+
+
+@query("SELECT path, array_to_string(w, ' ') AS wraps FROM (VALUES ('a/test.png', ['image']), ('scene.usd', ['scene']), ('model.onnx', ['model']), ('x.exr', ['image', 'exr-ext']), ('NOTE.MD', NULL), ('none', NULL)) v(path, w)")
+def wrap_probe(spark, sf_dir):
+    paths = spark.createDataFrame([(p,) for p in ("a/test.png", "scene.usd", "model.onnx", "x.exr", "NOTE.MD", "none")], "path string")
+    return paths.select("path", F.array_join(container.wraps_of(F.col("path")), " ").alias("wraps"))
+
+
+@query("SELECT * FROM (VALUES ('a.zip', 'zip'), ('b.tgz', 'tar.gz'), ('c.txt', 'unknown'), ('d.jar', 'zip'), ('e.ZIP', 'zip'), ('f.TAR', 'unknown'), ('g', 'tar.bz2')) v(path, format)")
+def archive_detect(spark, sf_dir):
+    files = spark.createDataFrame([(p, b"BZh9" if p == "g" else b"") for p in ("a.zip", "b.tgz", "c.txt", "d.jar", "e.ZIP", "f.TAR", "g")], "path string, content binary")
+    return files.select("path", archive.format_of_file(F.col("path"), F.col("content")).alias("format"))
+
+
+@query("SELECT * FROM (VALUES ('CFSP', 'film'), ('CUTE1', 'crypt'), ('CUTE4', 'depo'), ('CUTE5', 'film'), ('PRSS', 'press'), ('none', 'unknown'), ('short', 'unknown')) v(name, type)")
+def container_detect(spark, sf_dir):
+    rows = [("PRSS", b"PRSS\x01\x00"), ("CUTE1", b"CUTE\x01\x00"), ("CUTE4", b"CUTE\x04\x00"), ("CUTE5", b"CUTE\x05\x04"), ("CFSP", b"CFSP\x01\x00"), ("none", b"abcdefg"), ("short", b"PRSS")]
+    files = spark.createDataFrame(rows, "name string, content binary")
+    return files.select("name", container.type_name(container.content_type(F.col("content"))).alias("type"))
+
+
+@query(_LOG + "SELECT log, count(*) AS entries, arg_min(timestamp, sequence) AS created_at, arg_max(timestamp, sequence) AS modified_at, arg_max(stored_size, sequence) AS stored_size FROM e GROUP BY log")
+def log_summary(spark, sf_dir):
+    return log.summary(adapters.log_entries(spark, sf_dir))
+
+
+@query(_LOG + "SELECT log, sequence, type FROM e WHERE sequence = 3")
+def log_entry_at(spark, sf_dir):
+    return log.entry_at(adapters.log_entries(spark, sf_dir), 3).select("log", "sequence", "type")
+
+
+@query(_LOG + "SELECT log, sequence, event_id FROM e WHERE type = 8 AND event_type = 'click'")
+def log_collection(spark, sf_dir):
+    entries = adapters.log_entries(spark, sf_dir).withColumn("collection_id", F.col("event_type"))
+    return log.find_collection(entries, "click").select("log", "sequence", "event_id")
+
+
+@query("""WITH e AS (SELECT user_id AS log, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence FROM events)
+SELECT log, count(*) AS entries, cast(count(*) FILTER (sequence = 2) AS BIGINT) AS broken, CASE WHEN count(*) > 2 THEN 2 END::BIGINT AS first_broken FROM e GROUP BY log""")
+def log_chain_verify(spark, sf_dir):
+    """Chains built over all logs, then the entry before each log's third changed: the third must be found broken, and no other."""
+    rows = adapters.log_entries(spark, sf_dir).select("log", "sequence", "type", "timestamp", "stored_size")
+    built = log.chained(rows)
+    tampered = built.withColumn("body", F.when(F.col("sequence") == 1, F.concat("body", F.lit("x"))).otherwise(F.col("body")))
+    return log.verify_chain(tampered)
+
+
+@query("""WITH e AS (SELECT user_id AS log, event_id, ts, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS s, event_id % 2 AS part FROM events)
+SELECT log, event_id, row_number() OVER (PARTITION BY log ORDER BY part, s) - 1 AS sequence FROM e""")
+def log_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), "event_id", "ts")
+    halves = [log.sequenced(e.where(F.col("event_id") % 2 == k), "ts", "event_id") for k in (0, 1)]
+    return log.merge(*halves).select("log", "event_id", "sequence")
+
+
+@query(_LOG + "SELECT log, sequence, last_value(CASE WHEN type = 0 THEN stored_size END IGNORE NULLS) OVER (PARTITION BY log ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stored_size FROM e")
+def log_carry_forward(spark, sf_dir):
+    entries = adapters.log_entries(spark, sf_dir).withColumn("stored_size", F.when(F.col("type") == 0, F.col("stored_size")))
+    return log.carried(entries, "stored_size").select("log", "sequence", "stored_size")
+
+
+@query(_PAGES + "SELECT idx, path, size FROM p WHERE starts_with(path, '/es/') AND substr(path, 5) <> '' AND strpos(substr(path, 5), '/') IN (0, length(substr(path, 5)))")
+def archive_children(spark, sf_dir):
+    return archive.children(adapters.page_entries(spark, sf_dir), "/es/").select("idx", "path", "size")
+
+
+@query(_PAGES + "SELECT archive, count(*) AS entries, sum(size)::BIGINT AS bytes FROM p WHERE NOT contains(path, '..') GROUP BY archive")
+def archive_safe_totals(spark, sf_dir):
+    return archive.safe(adapters.page_entries(spark, sf_dir)).groupBy("archive").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+
+
+def _sides(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content"))
+    o = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("content"))
+    return d, o
+
+
+_SIDES = """WITH b AS (SELECT doc_id AS path, sha256(text) AS content FROM documents), o AS (SELECT doc_id AS path, CASE WHEN toxic = 1 THEN '' ELSE 'q' || quality END AS content FROM labels)
+"""
+
+
+@query(_SIDES + "SELECT coalesce(b.path, o.path) AS path, coalesce(nullif(o.content, ''), b.content) AS content, CASE WHEN nullif(o.content, '') IS NULL THEN 'base' ELSE 'overlay' END AS layer FROM b FULL JOIN o ON b.path = o.path")
+def overlay_resolve(spark, sf_dir):
+    return overlay.resolve(*_sides(spark, sf_dir))
+
+
+@query(_SIDES + "SELECT path FROM b WHERE path IN (SELECT path FROM o)")
+def overlay_existing(spark, sf_dir):
+    return overlay.existing(*_sides(spark, sf_dir)).select("path")
+
+
+@query(_SIDES + "SELECT path FROM b WHERE path NOT IN (SELECT path FROM o)")
+def overlay_delete(spark, sf_dir):
+    return overlay.untouched(*_sides(spark, sf_dir)).select("path")
+
+
+@query("SELECT user_id AS path, arg_max(event_type, event_id) AS content, max(event_id) AS version FROM events GROUP BY user_id")
+def overlay_write(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("content"), F.col("event_id").alias("version"))
+    return overlay.write(e.where("version % 3 = 0"), e.where("version % 3 <> 0"))
+
+
+@query("SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE NOT starts_with(source, '.') GROUP BY lang")
+def overlay_size(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("path"), F.col("text").alias("content"), "lang")
+    return overlay.size(overlay.listing(d, ""), "lang")
+
+
+_PARTS = """WITH d AS (SELECT doc_id AS id, text AS payload, length(text) AS n FROM documents),
+p AS (SELECT id, unnest(range(greatest(1, cast(ceil(n / 2000) AS BIGINT)))) AS part, payload, n FROM d)
+"""
+
+
+@query(_PARTS + "SELECT id, cast(part AS INT) AS part, cast(greatest(1, ceil(n / 2000)) AS INT) AS parts, part * 2000 AS \"offset\", length(substr(payload, part * 2000 + 1, 2000)) AS length, sha256(substr(payload, part * 2000 + 1, 2000)) AS part_hash, sha256(payload) AS full_hash FROM p")
+def chunk_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("payload"))
+    return chunk.split(d, 2000).drop("chunk")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 AND length(text) > 2000 THEN 'missing' ELSE 'whole' END AS status, CASE WHEN doc_id % 7 = 0 AND length(text) > 2000 THEN NULL ELSE sha256(text) END AS hash FROM documents")
+def chunk_join(spark, sf_dir):
+    """Every document split; of every seventh the second part is lost; what is put together is whole or told missing."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("payload"))
+    left = chunk.split(d, 2000).where(~((F.col("id") % 7 == 0) & (F.col("part") == 1)))
+    return chunk.join(left).select("id", "status", F.sha2("payload", 256).alias("hash"))
+
+
+@query("""WITH s AS (SELECT lang, unnest(string_split(text, '')) AS symbol FROM documents), c AS (SELECT lang, symbol, count(*) AS n FROM s WHERE symbol <> '' GROUP BY ALL)
+SELECT lang, symbol, n, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c""")
+def char_histogram(spark, sf_dir):
+    return codecs.histogram(table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query(_LEDGER + "SELECT event, epoch, CASE WHEN epoch < 2 THEN 'delayed' WHEN epoch > 20 THEN 'expired' ELSE 'open' END AS decision FROM l")
+def epoch_access(spark, sf_dir):
+    decision = ledger.access(F.col("epoch"), F.lit(2), F.lit(20), F.lit(1))
+    return adapters.ledger(spark, sf_dir).select("event", "epoch", decision.alias("decision"))
+
+
+@query(_LEDGER + "SELECT event, key, cast(row_number() OVER w AS INT) AS use, row_number() OVER w <= 3 AS granted, cast(greatest(0, 3 - row_number() OVER w) AS INT) AS remaining FROM l WINDOW w AS (PARTITION BY key ORDER BY ts, event)")
+def fuse_consumption(spark, sf_dir):
+    return ledger.consume(adapters.ledger(spark, sf_dir), "key", 3, "ts", "event").select("event", "key", "use", "granted", "remaining")
+
+
+@query(_LEDGER + "SELECT event, epoch > coalesce(lag(epoch) OVER (PARTITION BY key ORDER BY ts, event), -1) AS beat FROM l")
+def heartbeat(spark, sf_dir):
+    return ledger.heartbeats(adapters.ledger(spark, sf_dir), "key", "ts", "event").select("event", "beat")
+
+
+@query(_LEDGER + "SELECT event, epoch BETWEEN 1 AND 5 AS valid FROM l")
+def token_window(spark, sf_dir):
+    return adapters.ledger(spark, sf_dir).select("event", ledger.in_window(F.col("epoch"), F.lit(1), 4).alias("valid"))
+
+
+@query(_LEDGER + "SELECT key, arg_min(event, (ts, event)) AS event, min(ts) AS ts FROM l GROUP BY key")
+def first_claim(spark, sf_dir):
+    return ledger.claims(adapters.ledger(spark, sf_dir).select("key", "event", "ts"), "key", "ts", "event")
+
+
+@query("SELECT p_partkey AS id, p_size % 4 AS role_level FROM part WHERE p_size % 4 >= 2")
+def role_visible(spark, sf_dir):
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("role_level"))
+    return ledger.visible(entries, 2)
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, cast(o_orderkey % 256 AS INT) AS bits, o_custkey % 5 AS c FROM orders)
+SELECT id, concat_ws(' ', CASE WHEN c = 0 THEN 'app' WHEN c = 1 THEN 'archive' WHEN c = 2 THEN 'parted' WHEN id % 11 = 0 THEN 'unlocked' ELSE 'file' END,
+  CASE WHEN bits & 8 <> 0 THEN 'fused' END, CASE WHEN c = 3 THEN 'fbox' END, CASE WHEN id % 3 > 0 THEN 'ledger' END, CASE WHEN c = 3 THEN 'totp' END,
+  CASE WHEN bits & 64 <> 0 THEN 'keychain' END, CASE WHEN bits & 16 <> 0 THEN 'purge' END, CASE WHEN bits & 2 <> 0 THEN 'timed' END, CASE WHEN bits & 4 <> 0 THEN 'delayed' END) AS label FROM f""")
+def lock_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"))
+    kind = F.col("c") % 5
+    sections = F.when(kind == 0, F.array(F.lit("ARCV"), F.lit("PKEY"))).when(kind == 1, F.array(F.lit("ARCV"))).when(kind == 2, F.array(F.lit("PART"))).when(kind == 3, F.array(F.lit("FBOX"), F.lit("TOTP"))).otherwise(F.array().cast("array<string>"))
+    return o.select("id", ledger.label((F.col("id") % 256).cast("int"), sections, F.col("id") % 3, F.col("id") % 11 == 0).alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber, xor(l_partkey, coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), 0)) AS delta FROM lineitem")
+def xor_encode(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    return spectral.xor_encode(li, ["l_orderkey"], "place", "l_partkey").select("l_orderkey", "l_linenumber", "delta")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS value FROM lineitem")
+def xor_decode(spark, sf_dir):
+    """Encoded and decoded again: the values come back."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    encoded = spectral.xor_encode(li, ["l_orderkey"], "place", "l_partkey").drop("l_partkey")
+    return spectral.xor_decode(encoded, ["l_orderkey"], "place").select("l_orderkey", "l_linenumber", "value")
+
+
+@query("SELECT vec_id AS pixel, cast(unnest(range(16)) AS INT) AS band, cast(unnest(embedding[1:16]) AS DOUBLE) AS value FROM embeddings")
+def deinterleave(spark, sf_dir):
+    return spectral.planes(adapters.pixels(spark, sf_dir), "pixel", "bands").withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT vec_id AS pixel, true AS same FROM embeddings")
+def interleave(spark, sf_dir):
+    """Planes put together again are the pixels."""
+    p = adapters.pixels(spark, sf_dir)
+    back = spectral.pixels(spectral.planes(p, "pixel", "bands"), "pixel").withColumnRenamed("bands", "back")
+    return p.join(back, "pixel").select("pixel", (F.col("bands") == F.col("back")).alias("same"))
+
+
+def _lobes(which: str, at: str) -> str:
+    parts = [f"{w} * exp(-0.5 * pow(({at} - {c}) / (CASE WHEN {at} < {c} THEN {a} ELSE {b} END), 2))" for w, c, a, b in spectral.MATCHING[which]]
+    return "(" + " + ".join(parts) + ")"
+
+
+@query(
+    "WITH p AS (SELECT vec_id AS pixel, unnest(range(16)) AS band, cast(unnest(embedding[1:16]) AS DOUBLE) AS v FROM embeddings), w AS (SELECT *, 380 + band * 400 / 15 AS wl FROM p), "
+    + f"c AS (SELECT pixel, v, {_lobes('x', 'wl')} AS x, {_lobes('y', 'wl')} AS y, {_lobes('z', 'wl')} AS z FROM w), "
+    + 's AS (SELECT pixel, sum(v * x) / sum(y) AS "X", sum(v * y) / sum(y) AS "Y", sum(v * z) / sum(y) AS "Z" FROM c GROUP BY pixel) '
+    + "SELECT pixel, round(\"X\", 6) AS x, round(\"Y\", 6) AS y, round(\"Z\", 6) AS z, "
+    + ", ".join(f'round(greatest(0, least(1, {a} * "X" + {b} * "Y" + {c} * "Z")), 6) AS {n}' for n, (a, b, c) in zip("rgb", spectral.XYZ_TO_RGB, strict=True))
+    + " FROM s"
+)
+def spectral_xyz(spark, sf_dir):
+    xyz = adapters.pixels(spark, sf_dir).select("pixel", *spectral.integrate(F.col("bands"), 16))
+    found = xyz.select("pixel", F.round("X", 6).alias("_x"), F.round("Y", 6).alias("_y"), F.round("Z", 6).alias("_z"), *[F.round(c, 6).alias(n) for c, n in zip(spectral.to_rgb(F.col("X"), F.col("Y"), F.col("Z")), "rgb", strict=True)])
+    return found.withColumnsRenamed({"_x": "x", "_y": "y", "_z": "z"})
+
+
+_C = FILM_CURVES["default"]
+
+
+@query(f"""WITH e AS (SELECT event_id, value / 100000 * {_C['iso']} AS x FROM events),
+d AS (SELECT event_id, x, {_C['gamma']} * log10(greatest(x, 0) + 1e-10) AS s FROM e)
+SELECT event_id, round(least({_C['max_density']}, CASE WHEN x <= {_C['toe_limit']} THEN {_C['base_fog']} + x / {_C['toe_limit']} * ({_C['gamma']} * log10({_C['toe_limit']} + 1e-10) - {_C['base_fog']})
+  WHEN x >= {_C['shoulder_limit']} THEN s + ({_C['max_density']} - s) * least((x - {_C['shoulder_limit']}) / {2 * _C['shoulder_limit']}, 1) ELSE s END), 6) AS density FROM d""")
+def film_curve(spark, sf_dir):
+    density = spectral.film_density(F.col("value") / 100000, F.lit(1), _C)
+    return table(spark, sf_dir, "events").select("event_id", F.round(density, 6).alias("density"))
+
+
+@query()
+def film_develop(spark, sf_dir):
+    samples = spectral.planes(adapters.pixels(spark, sf_dir), "pixel", "bands").select("pixel", "band", F.abs(F.col("value").cast("double")).alias("energy"), F.lit(1.0).alias("weight"))
+    return spectral.develop(samples, "pixel", 16, FILM_CURVES["negative"])
+
+
+@query()
+def hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", codecs.sha3_256("html").alias("sha3_256"), codecs.xxhash32("html", F.lit(0)).alias("xxhash32"), F.crc32("html").alias("crc32"), codecs.shake_256("html", F.lit(16)).alias("shake_256"))
+
+
+@query("SELECT page_id, strlen(html) AS size, sha256(html) AS hash FROM pages")
+def pack_round_trip(spark, sf_dir):
+    """Packed, unpacked, and hashed: the pages come back."""
+    packed = table(spark, sf_dir, "pages").select("page_id", codecs.unpack(codecs.pack("html")).alias("x"))
+    return packed.select("page_id", F.length("x").cast("long").alias("size"), F.sha2("x", 256).alias("hash"))
+
+
+@query("SELECT lang, sum(1) * 0 + 4096 AS total FROM documents GROUP BY lang")
+def normalised_frequencies(spark, sf_dir):
+    chars = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    counted = chars.groupBy("lang", (F.ascii("c") % 256).alias("symbol")).agg(F.count("*").alias("n"))
+    return codecs.normalised_frequencies(counted, "lang").groupBy("lang").agg(F.sum("freq").alias("total"))
+
+
+@query("SELECT event_id, id FROM (SELECT event_id, event_id AS id FROM events)")
+def sealed_round_trip(spark, sf_dir):
+    """AES-GCM with the row's path as associated data, opened again; a wrong path opens nothing."""
+    key, path = F.lit(b"0123456789abcdef0123456789abcdef"), F.concat(F.lit("event/"), F.col("event_id").cast("string"))
+    nonce = F.unhex(F.lpad(F.hex("event_id"), 24, "0"))
+    sealed = table(spark, sf_dir, "events").select("event_id", path.alias("path"), F.aes_encrypt(F.col("event_id").cast("string").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, path.cast("binary")).alias("box"))
+    opened = F.try_aes_decrypt("box", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("path").cast("binary"))
+    wrong = F.try_aes_decrypt("box", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"event/none"))
+    return sealed.where(wrong.isNull()).select("event_id", opened.cast("string").cast("long").alias("id"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["asset_prefix_totals"](spark, sf_dir)
+    return asset_prefix_totals(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

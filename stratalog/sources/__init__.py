@@ -1 +1,14 @@
-"""sources of the engine."""
+"""Python data sources of the engine."""
+
+from pyspark.sql import SparkSession
+
+from stratalog.sources.archives import ArchiveSource
+from stratalog.sources.containers import ContainerSource, VolumeSource
+from stratalog.sources.logs import RailSource
+
+ALL = (ArchiveSource, ContainerSource, VolumeSource, RailSource)
+
+
+def register(spark: SparkSession) -> None:
+    for source in ALL:
+        spark.dataSource.register(source)

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Stateful operators over streams."""
