@@ -212,7 +212,12 @@ def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
 
     # the first record of an archive stands for it, so that archives without revisits come too
     needed = decisions.where("refers_to is not null or ordinal = 0").select("archive", "ordinal", "refers_to")
-    return needed.repartition("archive").sortWithinPartitions("archive", "ordinal").mapInArrow(run, "archive string, offset long, length long, page_id long")
+    # a few rows stand for the work of an archive, so tasks are counted by archives and not by bytes
+    return needed.repartition(_archives(decisions), "archive").sortWithinPartitions("archive", "ordinal").mapInArrow(run, "archive string, offset long, length long, page_id long")
+
+
+def _archives(rows: DataFrame) -> int:
+    return max(1, rows.select("archive").distinct().count())
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -242,7 +247,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+    placed = index.select("archive", "offset", "length").repartition(_archives(index), "archive").sortWithinPartitions("archive", "offset")
+    return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
 
 
 def archive_pages(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
@@ -250,5 +256,5 @@ def archive_pages(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     source, target = new_folder(spark, "warc-monolithic"), new_folder(spark, "warc")
     written = saved(write_monolithic(pages, source), "warc-written")
-    index = saved(normalise(revisits(written, least_bytes), source, target), "warc-index")
+    index = saved(normalise(saved(revisits(written, least_bytes), "warc-decisions"), source, target), "warc-index")
     return read_archives(index, target)
