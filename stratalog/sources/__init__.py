@@ -10,5 +10,7 @@ ALL = (ArchiveSource, ContainerSource, VolumeSource, RailSource)
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources known to a session, and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in ALL:
         spark.dataSource.register(source)
