@@ -202,10 +202,7 @@ def fit(docs: DataFrame) -> SpanModel:
     return SpanModel(prior, reliability, weights, bias)
 
 
-def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """docs with base and spans, both array<struct<start, k, end>> sorted; k is the kind's place in KINDS."""
-    model = model or fit(docs)
-
+def _annotated(docs: DataFrame, model: SpanModel, base: str, spans: str) -> DataFrame:
     def score(c: Column) -> Column:
         z = F.lit(model.bias)
         for name in FEATURES:
@@ -216,10 +213,15 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         return z
 
     place = lambda c: F.struct(c["start"], c["k"], c["end"])
-    found = candidates(docs).withColumn("base", F.sort_array(F.transform("__base", place)))
+    found = candidates(docs).withColumn(base, F.sort_array(F.transform("__base", place)))
     free = lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     more = F.transform(F.filter("__more", lambda c: (score(c) >= 0) & free(c)), place)
-    return found.withColumn("spans", F.sort_array(F.concat(F.transform("__base", place), more))).drop("__base", "__more")
+    return found.withColumn(spans, F.sort_array(F.concat(F.transform("__base", place), more))).drop("__base", "__more")
+
+
+def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
+    """docs with base and spans (in place of columns so named), both array<struct<start, k, end>> sorted; k is the kind's place in KINDS."""
+    return _annotated(docs, model or fit(docs), "base", "spans")
 
 
 def written(spans: Column) -> Column:
@@ -229,7 +231,7 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """docs with each span of text, overlapping ones together, replaced by the first one's kind in brackets."""
-    found = find_spans(docs, model)
+    found = _annotated(docs, model or fit(docs), "__checked", "__spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
 
@@ -238,7 +240,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         wider = F.struct(last["start"], last["k"], F.greatest(last["end"], s["end"]).alias("end"))
         return F.when((F.size(a) > 0) & (s["start"] < last["end"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a, F.array(s)))
 
-    found = found.withColumn("__apart", F.aggregate("spans", none, join))
+    found = found.withColumn("__apart", F.aggregate("__spans", none, join))
 
     def piece(s: Column, i: Column) -> Column:
         at = F.coalesce(F.get("__apart", i - 1)["end"], F.lit(0))
@@ -246,4 +248,4 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
     end = F.coalesce(F.get("__apart", F.size("__apart") - 1)["end"], F.lit(0))
     text = F.concat(F.array_join(F.transform("__apart", piece), ""), F.substr("text", end + 1))
-    return found.withColumn("text", F.when(F.size("__apart") > 0, text).otherwise(F.col("text"))).drop("__apart", "base", "spans")
+    return found.withColumn("text", F.when(F.size("__apart") > 0, text).otherwise(F.col("text"))).drop("__apart", "__checked", "__spans")
