@@ -9,11 +9,15 @@ with a smaller doc_id, or earlier in the same one); strings are judged on the in
    documents; a window whose anchor's hash occurs once occurs once itself.
 2. Classes. Equal segments are one class, of which the earliest occurrence stays a candidate; in the
    others all windows start earlier elsewhere.
-3. Suffix arrays. The different segments of one anchor hash, earliest occurrences only, are put into one
-   string and its suffixes sorted by Lyndon groups (suffix_groups). Neighbours in that order which
-   share 100 bytes are equal windows; the earliest keeps its bytes, the others are removed.
+3. Trimming. The classes of one anchor hash, earliest occurrences only, stand one below another at their
+   anchors. What a segment has before its anchor is cut to the longest end that any other class has
+   there too, and so after it; what has less than a window left holds no repeat. Segments that are
+   equal now are one class again.
+4. Suffix arrays. What is left of one anchor's segments is put into one string and its suffixes sorted
+   by Lyndon groups (suffix_groups). Neighbours in that order which share 100 bytes are equal windows;
+   the earliest keeps its bytes, the others are removed.
    An anchor with more than CLASSES classes is dealt out further by the hashes of its windows; no
-   task holds more than a bounded number of segments, and nothing is left out.
+   task holds more than a bounded number of segments of one anchor, and nothing is left out.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; repeated rows
 of one doc_id are one document, given back as often as they are there; rows with a null doc_id are left
@@ -35,7 +39,7 @@ from stratalog.llm.suffix_groups import suffix_array
 
 WINDOW = 100
 GRAM = 24
-CLASSES = 256  # segments of an anchor that are sorted together
+CLASSES = 1 << 15  # segments of an anchor that are held together, of at most 175 bytes each
 CHUNK = 1 << 19  # bytes hashed at a time
 BLOOM_BITS = 23
 
@@ -56,8 +60,8 @@ class Anchors:
         self.window, self.gram = window, min(gram, window)
         self.up, self.down = _powers(_BASE, CHUNK + 2 * window), _powers(_BACK, CHUNK + 2 * window)
 
-    def segments(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Start of the first window, length in bytes, and anchor hash of each segment, a chunk at a time.
+    def segments(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, length in bytes, the anchor's place in it and the anchor's hash of each segment, a chunk at a time.
 
         A segment at a chunk's border may come in two parts; equal windows still meet by their anchor.
         """
@@ -82,7 +86,52 @@ class Anchors:
             place = (low & np.uint64(0xFFFFF)).astype(np.int64)
             first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
             last = np.concatenate([first[1:], [n]])
-            yield first + at, last - first + self.window - 1, h[place[first]].view(np.int64)
+            yield first + at, last - first + self.window - 1, place[first] - first, h[place[first]].view(np.int64)
+
+
+def _shared_start(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _longest_shared(texts: list[bytes]) -> list[int]:
+    """For each text the length of the longest start that any other has too: a neighbour in sorted order has it."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    out = [0] * len(texts)
+    for i, j in zip(order, order[1:]):
+        n = _shared_start(texts[i], texts[j])
+        out[i] = max(out[i], n)
+        out[j] = max(out[j], n)
+    return out
+
+
+def repeats(segments: list[tuple[int, int, int, bytes]], window: int, gram: int) -> list[tuple[int, int, int]]:
+    """doc, start, end of the byte runs to remove in the segments (doc, start, place of the anchor, bytes) of one anchor, in order of their places."""
+    before = _longest_shared([x[at - 1 :: -1] if at else b"" for _, _, at, x in segments])
+    behind = _longest_shared([x[at + gram :] for _, _, at, x in segments])
+    found, first = [], {}
+    for (doc, start, at, x), left, right in zip(segments, before, behind, strict=True):
+        low, high = at - left, at + gram + right
+        if high - low >= window:
+            trimmed = x[low:high]
+            if trimmed in first:
+                found.append((doc, start + low, start + high))
+            else:
+                first[trimmed] = (doc, start + low)
+    if len(first) > 1:
+        order = list(first.values())
+        for (doc, start), runs in zip(order, equal_windows(list(first), order, window), strict=True):
+            found.extend((doc, start + a, start + b) for a, b in runs)
+    return found
 
 
 def equal_windows(segments: list[bytes], order: list[tuple[int, int]], window: int) -> list[list[tuple[int, int]]]:
@@ -167,9 +216,9 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             held, parts = 0, []
             for doc, text in zip(batch.column(0).to_pylist(), _bytes_of(batch, 1), strict=True):
-                for at, size, anchor in find.segments(text):
+                for at, size, place, anchor in find.segments(text):
                     content = np.array([one(text[a : a + n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)], np.uint64).view(np.int64)
-                    parts.append((anchor, content, np.full(len(at), doc), at << 16 | size))
+                    parts.append((anchor, content, np.full(len(at), doc), at << 24 | place << 12 | size))
                     held += len(at)
                 if held > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["anchor", "content", "doc", "place"])
@@ -180,15 +229,15 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     posted = docs.mapInArrow(anchors, "anchor long, content long, doc long, place long")
     several = posted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = saved(posted.join(several, "anchor"), "segments")
-    size = F.col("place").bitwiseAND(0xFFFF)
-    start = F.shiftright("place", 16)
-    classes = saved(shared.groupBy("anchor", "content", size.alias("size")).agg(F.min(F.struct("doc", start.alias("start"))).alias("first"), F.count("*").alias("n")), "segment-classes")
+    size = F.col("place").bitwiseAND(0xFFF)
+    start = F.shiftright("place", 24)
+    classes = saved(shared.groupBy("anchor", "content", size.alias("size")).agg(F.min(F.struct("doc", start.alias("start"))).alias("first"), F.min(F.shiftright("place", 12).bitwiseAND(0xFFF)).alias("at"), F.count("*").alias("n")), "segment-classes")
     of_several = classes.where("n > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.col("size").alias("z"), "first")
     met = shared.join(of_several, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")) & (size == F.col("z")))
     copies = met.select("doc", start.alias("start"), (start + size).alias("end"), "first").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).drop("first")
 
     counted = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
-    wanted = classes.join(counted, "anchor").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), F.col("size").cast("long").alias("size"), "anchor", (F.col("classes") > CLASSES).alias("crowded")).alias("s"))
+    wanted = classes.join(counted, "anchor").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), F.col("size").cast("long").alias("size"), "at", "anchor", (F.col("classes") > CLASSES).alias("crowded")).alias("s"))
     wanted = saved(wanted.groupBy("doc").agg(F.collect_list("s").alias("segments")), "segments-by-document")
     texts = _texts_of(docs, _marks(wanted.select("doc"))).join(wanted, "doc")
 
@@ -200,12 +249,12 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for s in segments:
                     x = text[s["start"] : s["start"] + s["size"]]
                     if not s["crowded"]:
-                        rows.append((s["anchor"], 0, doc, s["start"], x))
+                        rows.append((s["anchor"], 0, doc, s["start"], s["at"], x))
                         held += len(x)
                     else:
                         for o in range(len(x) - window + 1):
                             h = xxhash.xxh3_128_intdigest(x[o : o + window])
-                            rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63) or 1, doc, s["start"] + o, b""))
+                            rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63) or 1, doc, s["start"] + o, 0, b""))
                 if len(rows) > 20_000 or held > 4 << 20:
                     yield _packed(rows)
                     rows, held = [], 0
@@ -213,36 +262,36 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _packed(rows)
 
     def _packed(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "low", "doc", "start", "bytes"])
+        types = (*[pa.int64()] * 5, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "low", "doc", "start", "at", "bytes"])
 
-    pieces = saved(texts.mapInArrow(cut, "anchor long, low long, doc long, start long, bytes binary"), "segment-bytes")
+    pieces = saved(texts.mapInArrow(cut, "anchor long, low long, doc long, start long, at long, bytes binary"), "segment-bytes")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, segments, order, found = None, [], [], []
+        key, segments, found = None, [], []
 
         def close() -> None:
             if len(segments) > 1:
-                for (doc, start), runs in zip(order, equal_windows(segments, order, window), strict=True):
-                    found.extend((doc, start + a, start + b) for a, b in runs)
+                found.extend(repeats(segments, window, min(GRAM, window)))
 
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["doc", "start", "end"])
 
         for batch in batches:
-            for anchor, doc, start, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for anchor, *segment in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if anchor != key:
                     close()
-                    key, segments, order = anchor, [], []
-                segments.append(x)
-                order.append((doc, start))
+                    key, segments = anchor, []
+                segments.append(segment)
             if len(found) > 5000:
                 yield packed()
                 found.clear()
         close()
         yield packed()
 
-    sorted_pieces = pieces.where("low = 0").select("anchor", "doc", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
+    # tasks by the work, a MB of segments each: AQE would merge them to tasks of many MB
+    work = pieces.where("low = 0").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    sorted_pieces = pieces.where("low = 0").select("anchor", "doc", "start", "at", "bytes").repartition(int(work // (1 << 20)) + 1, "anchor").sortWithinPartitions("anchor", "doc", "start")
     by_suffix = sorted_pieces.mapInArrow(sort, "doc long, start long, end long")
     windows = pieces.where("low <> 0").select("anchor", "low", "doc", "start")
     first = windows.groupBy("anchor", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
