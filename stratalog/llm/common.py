@@ -36,3 +36,45 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BLOOM_BITS = 23
+
+
+def bit_of(column: str):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(column), F.lit(1 << BLOOM_BITS))
+
+
+def bloom_of(ids: DataFrame, column: str):
+    """A Bloom filter of a fixed size (1 MB) over a column, as a broadcast; filled beyond its size it holds everything."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    bit = bit_of(column)
+    words = ids.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(1 << BLOOM_BITS - 6, np.int64)
+    for r in words.toLocalIterator():
+        bits[r.w] = r.b
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose column is not in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
+    import pyarrow as pa
+
+    bloom = bloom_of(ids, column)
+    marked = rows.withColumn("__bit", bit_of(column))
+
+    def kept(inside: bool):
+        def run(batches):
+            for batch in batches:
+                bit = batch.column(batch.num_columns - 1).to_numpy()
+                found = ((bloom.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
+                part = batch.filter(pa.array(found == inside))
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+
+        return marked.mapInArrow(run, rows.schema)
+
+    return kept(False).unionByName(kept(True).join(ids.select(column), column, "left_anti").select(*rows.columns))
