@@ -113,12 +113,41 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS s FROM d WHERE octet_length(b) >= 100),
+h AS (SELECT doc_id, s, row_number() OVER (PARTITION BY b[s + 1 : s + 100] ORDER BY doc_id, s) AS k FROM w),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM h WHERE k > 1),
+r AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run, s FROM g),
+runs AS (SELECT doc_id, min(s) AS low, max(s) + 100 AS high FROM r GROUP BY doc_id, run),
+parts AS (SELECT doc_id, high - low AS gone, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before, high FROM runs),
+t AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) AS n_spans, max(high) AS last FROM parts GROUP BY doc_id),
+k AS (SELECT parts.doc_id, string_agg(hex(b[before + 1 : low]), '' ORDER BY low) AS x FROM parts JOIN d USING (doc_id) GROUP BY parts.doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(from_hex(coalesce(x, '') || hex(b[last + 1 :]))) END AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+c AS (SELECT doc_id AS i, doc_id AS j FROM w UNION SELECT c.i, e.j FROM c JOIN e ON c.j = e.i)
+SELECT c.i AS doc_id, coalesce(max(n), 0) AS n_shingles, min(c.j) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.i GROUP BY c.i
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
@@ -128,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}
