@@ -83,9 +83,9 @@ def archive_detect(spark, sf_dir):
     return files.select("path", archive.format_of_file(F.col("path"), F.col("content")).alias("format"))
 
 
-@query("SELECT * FROM (VALUES ('CFSP', 'film'), ('CUTE1', 'crypt'), ('CUTE4', 'depo'), ('CUTE5', 'film'), ('PRSS', 'press'), ('none', 'unknown'), ('short', 'unknown')) v(name, type)")
+@query("SELECT * FROM (VALUES ('CFSP', 'film'), ('locked1', 'crypt'), ('locked4', 'depo'), ('boxed5', 'film'), ('PRSS', 'press'), ('none', 'unknown'), ('short', 'unknown')) v(name, type)")
 def container_detect(spark, sf_dir):
-    rows = [("PRSS", b"PRSS\x01\x00"), ("CUTE1", b"CUTE\x01\x00"), ("CUTE4", b"CUTE\x04\x00"), ("CUTE5", b"CUTE\x05\x04"), ("CFSP", b"CFSP\x01\x00"), ("none", b"abcdefg"), ("short", b"PRSS")]
+    rows = [("PRSS", b"PRSS\x01\x00"), ("locked1", b"CUTE\x01\x00"), ("locked4", b"CUTE\x04\x00"), ("boxed5", b"CUTE\x05\x04"), ("CFSP", b"CFSP\x01\x00"), ("none", b"abcdefg"), ("short", b"PRSS")]
     files = spark.createDataFrame(rows, "name string, content binary")
     return files.select("name", container.type_name(container.content_type(F.col("content"))).alias("type"))
 
