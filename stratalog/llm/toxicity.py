@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after another by logistic regressions over which words of a vocabulary
-a text holds; each later model also sees the earlier categories' probabilities. In training these are
+The categories are predicted one after another by logistic regressions over which words and beginnings
+of words (of PREFIXES letters, so that inflected forms count together) of a vocabulary a text holds; each later model also sees the earlier categories' probabilities. In training these are
 out-of-fold predictions, so that a later model learns how far to trust them on unseen texts.
 
 The labels table says whether a document is toxic. The kinds of toxicity that come before it in
@@ -10,9 +10,9 @@ list below is of that kind.
 
 The models are fitted on a bounded sample: at most SAMPLE labelled documents, those with the
 smallest hashes of doc_id. The vocabulary has at most WORDS words, those that tell most (by
-chi-square) of the ones in at least LEAST sampled documents. Scoring covers every document.
+chi-square) of the ones in at least LEAST sampled documents. Scoring covers every document and whole texts.
 
-Defined cases: null and empty texts have no words and get the chain's base rates; labels without a
+Defined cases: texts without any word of the vocabulary, as null and empty ones, get the chain's base rates and are not toxic; labels without a
 document, or null, are not used; of several labels of a document the largest holds; without
 labelled rows of both classes nothing is toxic (probability 0); repeated rows are scored each; an
 empty table gives an empty table; other columns are passed over or kept.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 SAMPLE = 8_000
 WORDS = 2_048
 LEAST = 5
+PREFIXES = (4, 5, 6)
 FOLDS = 5
-MOST_IDS = 400_000  # words of the vocabulary met in the sampled documents, an array's bound
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Words that tell the kinds apart.
@@ -56,6 +56,9 @@ class Chain:
             return np.zeros((len(ids), len(CHAIN)))
         return _predict(self.weights, len(self.vocabulary), *_flat(ids))
 
+    def rejects(self, ids: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        return (p[:, -1] >= self.threshold) & np.array([len(x) > 0 for x in ids], bool)
+
 
 def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
@@ -114,7 +117,8 @@ def fit_chain(vocabulary: dict[str, int], ids: list[np.ndarray], labels: np.ndar
 
 
 def _words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    found = set(WORD.findall(text.lower())) if text else set()
+    return found.union(*[{w[:n] for w in found} for n in PREFIXES])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Chain:
@@ -126,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Chain:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(k, 200) for batch in batches for k in range(0, batch.num_rows, 200)):
             found = [sorted(_words(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2)], ["doc_id", "words", "toxic"])
 
@@ -173,7 +177,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 part = b.slice(k, 1000)
                 ids = [np.array([place[w] for w in _words(t) & known], np.int64) for t in part.column(1).to_pylist()]
                 p = np.round(chain.predict(ids), 9)
-                toxic = (p[:, -1] >= chain.threshold).astype(np.int32)
+                toxic = chain.rejects(ids, p).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, c]) for c in range(len(CHAIN))], pa.array(toxic)], ["doc_id", *names, "toxic"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -193,6 +197,6 @@ def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 ids = [np.array([place[w] for w in _words(t) & known], np.int64) for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(np.round(chain.predict(ids)[:, -1], 9) < chain.threshold))
+                yield part.filter(pa.array(~chain.rejects(ids, np.round(chain.predict(ids), 9))))
 
     return docs.mapInArrow(run, docs.schema)
