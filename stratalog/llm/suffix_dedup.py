@@ -34,14 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import saved
+from stratalog.llm.common import bit_of, bloom_of, saved
 from stratalog.llm.suffix_groups import suffix_array
 
 WINDOW = 100
 GRAM = 24
 CLASSES = 1 << 15  # segments of an anchor that are held together, of at most 175 bytes each
 CHUNK = 1 << 19  # bytes hashed at a time
-BLOOM_BITS = 23
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -179,18 +178,8 @@ def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _marks(ids: DataFrame):
-    """A Bloom filter of doc, of a fixed size, as a broadcast."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << BLOOM_BITS))
-    words = ids.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(1 << BLOOM_BITS - 6, np.int64)
-    for r in words.toLocalIterator():
-        bits[r.w] = r.b
-    return ids.sparkSession.sparkContext.broadcast(bits)
-
-
 def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS)).alias("bit"))
+    return docs.select("doc_id", "text", bit_of("doc_id").alias("bit"))
 
 
 def _texts_of(docs: DataFrame, marks) -> DataFrame:
@@ -227,7 +216,8 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["anchor", "content", "doc", "place"])
 
     posted = docs.mapInArrow(anchors, "anchor long, content long, doc long, place long")
-    several = posted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: only a join of two plain exchanges can be split where an anchor is frequent
+    several = saved(posted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     shared = saved(posted.join(several, "anchor"), "segments")
     size = F.col("place").bitwiseAND(0xFFF)
     start = F.shiftright("place", 24)
@@ -239,7 +229,7 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
     wanted = classes.join(counted, "anchor").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), F.col("size").cast("long").alias("size"), "at", "anchor", (F.col("classes") > CLASSES).alias("crowded")).alias("s"))
     wanted = saved(wanted.groupBy("doc").agg(F.collect_list("s").alias("segments")), "segments-by-document")
-    texts = _texts_of(docs, _marks(wanted.select("doc"))).join(wanted, "doc")
+    texts = _texts_of(docs, bloom_of(wanted, "doc")).join(wanted, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments; of crowded anchors the windows, under 128 bits of their hash."""
@@ -313,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = removed_runs(docs, window).distinct().groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     runs = saved(runs, "removed-runs")
-    marks = _marks(runs.select("doc"))
+    marks = bloom_of(runs, "doc")
     out = "doc_id long, n_bytes long, runs array<struct<start:long,end:long>>, kept binary"
     names = ["doc_id", "n_bytes", "runs", "kept"]
     of_runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
