@@ -1,14 +1,14 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of letters and digits, lower-cased. An item is its sequence of shingles of five words
-(of all its words, if it has fewer). A document's windows have as many words as an item. Each
-window and item has a 64-bit SimHash of its shingles, weighted by how often they occur in it; a
+(of all its words, if it has fewer). A document's windows have as many words as an item; where the
+document has fewer, all of it is its one window. Each window and item has a 64-bit SimHash of its shingles, weighted by how often they occur in it; a
 multi-index over BLOCKS blocks of the fingerprint finds every item within RADIUS bits of a window: by the
 pigeonhole principle one block differs by at most RADIUS // BLOCKS bits, and tables hold for each
 value of a block the items so near. Candidates are verified by the weighted Jaccard similarity of
 their shingles, sum of min over sum of max, which must reach the threshold.
 
-Windows without any shingle of an item of their size have similarity 0 and are not fingerprinted.
+Windows without any shingle of an item that they are compared with have similarity 0 and are not fingerprinted.
 
 Items are broadcast in groups of at most GROUP_BYTES of text, each group with a pass of its own, so
 that a benchmark of any size works and no broadcast grows with it.
@@ -114,10 +114,11 @@ def windows_like(text: str, by_size: list[ItemsOfSize], every: dict[int, np.ndar
         size = own.size
         if size not in hit or not len(hit[size]):
             continue
-        g, n = of_length[size], own.words - size + 1  # shingles in a window
+        g = of_length[size]
+        n = min(own.words - size + 1, len(g))  # shingles in a window
         places = hit[size][np.isin(g[hit[size]], own.known)]
         last = len(g) - n
-        if not len(places) or last < 0:
+        if not len(places):
             continue
         best: dict[int, tuple[float, int]] = {}
         # runs of windows that hold a known shingle
@@ -134,7 +135,7 @@ def windows_like(text: str, by_size: list[ItemsOfSize], every: dict[int, np.ndar
                     if s >= threshold and s > best.get(i, (0.0, 0))[0]:
                         best[i] = s, k
         for i, (s, k) in best.items():
-            yield own.ids[i], s, k, own.words
+            yield own.ids[i], s, k, min(own.words, len(h))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.75) -> DataFrame:

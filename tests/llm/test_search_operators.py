@@ -169,6 +169,18 @@ def test_leaks(spark):
     assert decontaminate.find_contamination(df, bench.limit(0)).collect() == [] == decontaminate.find_contamination(df.limit(0), bench).collect()
 
 
+def test_leaks_shorter_than_an_item(spark):
+    item = [f"w{i}" for i in range(50)]
+    part = lambda a, b: " ".join(item[a:b])
+    # 50 words are 46 shingles, of which 35 are three quarters
+    rows = [(1, part(0, 49)), (2, part(1, 50)), (3, part(0, 39)), (4, part(11, 50)), (5, part(0, 38)), (6, part(0, 4)), (7, "w0"), (8, part(0, 50)), (9, "a b c"), (10, part(2, 40) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "a b c d")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert got == {(1, 0, 45 / 46, 0, 49), (2, 0, 45 / 46, 0, 49), (3, 0, 35 / 46, 0, 39), (4, 0, 35 / 46, 0, 39), (8, 0, 1.0, 0, 50)}
+    assert sorted(r.doc_id for r in decontaminate.without_contaminated(df, bench).collect()) == [5, 6, 7, 9, 10]
+
+
 def test_leaks_in_small_groups(spark, monkeypatch, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {tuple(r) for r in decontaminate.find_contamination(d, b).collect()}
