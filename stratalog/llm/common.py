@@ -67,8 +67,8 @@ def bloom_of(ids: DataFrame, column: str):
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
-def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """rows whose column is not in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
+def _ruled(rows: DataFrame, ids: DataFrame, column: str):
+    """A function from False to rows whose column a Bloom filter over ids rules out, from True to the others."""
     import pyarrow as pa
 
     bloom = bloom_of(ids, column)
@@ -84,4 +84,15 @@ def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
         return marked.mapInArrow(run, rows.schema)
 
+    return kept
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose column is not in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
+    kept = _ruled(rows, ids, column)
     return kept(False).unionByName(kept(True).join(ids.select(column), column, "left_anti").select(*rows.columns))
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose column is in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
+    return _ruled(rows, ids, column)(True).join(ids.select(column), column, "left_semi").select(*rows.columns)
