@@ -13,7 +13,7 @@ Equal vectors are put into one class first: only a class's smallest k + 1 vec_id
 anybody's k nearest (ties go to the smaller id, and a query's own id is left out), so one class
 entry with those ids stands for all of them, exactly.
 
-Defined cases: vectors that are null, zero, of another length than the index's, or hold null or
+Defined cases: vectors that are null, zero, of another length than the most frequent one (the longer on ties), or hold null or
 non-finite components take no part; repeated vec_ids count once (the smallest vector stays);
 with fewer than k candidates all of the probed ones are returned; an empty table gives no rows;
 other columns are passed over.
@@ -98,14 +98,15 @@ def search(vectors: DataFrame, *, query_step: int = 20, k: int = 20, lists: int
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
     usable_rows = usable(vectors)
+    usual = usable_rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if usual is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size = usual["size"]
+    usable_rows = usable_rows.where(F.size("v") == size)
     # vectors of which there are several are one class; a class lists its smallest k + 1 ids
     classes = usable_rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     chosen = classes.select("v", F.xxhash64("v", "first").alias("h")).orderBy("h").limit(sample)
     fitted_on = [r.v for r in chosen.select("v").collect()]
-    size = len(fitted_on[0]) if fitted_on else 0
-    fitted_on = [v for v in fitted_on if len(v) == size]
-    if not fitted_on:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = spark.sparkContext.broadcast(fit(np.array(fitted_on), lists=lists))
     n_lists = len(index.value.coarse)
 
@@ -116,7 +117,7 @@ def search(vectors: DataFrame, *, query_step: int = 20, k: int = 20, lists: int
                 yield pd.DataFrame({"first": b["first"], "v": b.v, "n": b.n, "list": near, "codes": [c.tobytes() for c in codes]})
 
     type_of_v = vectors.schema["embedding"].dataType.simpleString()
-    placed = classes.where(F.size("v") == size).mapInPandas(place, f"first long, v {type_of_v}, n long, list int, codes binary")
+    placed = classes.mapInPandas(place, f"first long, v {type_of_v}, n long, list int, codes binary")
     placed = placed.withColumn("block", F.lit(0))
     sizes = {r.list: r["count"] for r in placed.groupBy("list").count().collect()}  # a row for each list
     blocks = {c: -(-n // block) for c, n in sizes.items()}
@@ -130,7 +131,7 @@ def search(vectors: DataFrame, *, query_step: int = 20, k: int = 20, lists: int
                 rows = np.repeat(np.arange(len(b)), near.shape[1])
                 yield pd.DataFrame({"query_id": b.vec_id.to_numpy()[rows], "v": b.v.to_numpy()[rows], "list": near.ravel()})
 
-    queries = usable_rows.where((F.col("vec_id") % query_step == 0) & (F.size("v") == size))
+    queries = usable_rows.where(F.col("vec_id") % query_step == 0)
     probing = queries.mapInPandas(probe, f"query_id long, v {type_of_v}, list int")
     probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(of_list, F.col("list")), F.lit(1)) - 1)))
 

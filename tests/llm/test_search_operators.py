@@ -151,6 +151,17 @@ def test_vectors(spark):
     assert vector_search.search(df.limit(0)).collect() == []
 
 
+def test_vectors_of_the_usual_length(spark):
+    rng = np.random.default_rng(3)
+    usual = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    odd = spark.createDataFrame([(1000 + i, rng.normal(size=3).tolist()) for i in range(3000)], "vec_id long, embedding array<float>")
+    h = F.xxhash64("embedding", "vec_id")
+    first = common.saved(odd.orderBy(h).limit(2), "test-odd")  # they hash smallest of all
+    assert first.agg(F.max(h)).first()[0] < usual.agg(F.min(h)).first()[0]
+    got = vector_search.search(usual.unionByName(first)).collect()
+    assert {r.query_id for r in got} == {0, 20, 40} and len(got) == 60 and max(r.vec_id for r in got) < 60
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(10**5)}"
