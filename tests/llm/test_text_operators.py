@@ -32,6 +32,12 @@ def test_pieces_are_the_library_s(docs):
         assert r.decoded == library.decode(ids)
 
 
+def test_library_agrees_on_a_whole_table(spark, sf_dir):
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = [r.agrees for r in pieces.encode_documents(whole, queries.piece_model()).select("agrees").collect()]
+    assert len(got) == whole.count() and all(got)
+
+
 def test_own_decoder_and_cut_ids(docs):
     v = pieces.MergeVocabulary(open(queries.piece_model(), "rb").read())
     for t in TEXTS:
