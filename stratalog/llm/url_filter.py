@@ -6,7 +6,8 @@ A canonical URL is host + path: the host is what follows the first ``://`` up to
 
 Every url is turned into the few keys under which an entry could list it (its last c host labels
 plus its first l path characters, for the label counts c and path lengths l that the list has).
-The keys that the Bloom filter lets pass, and only those, are exploded and joined with the list.
+The keys that the Bloom filter lets pass, and only those, are exploded and joined with the list; urls
+without such a key are judged where they stand, and neither join nor shuffle sees them.
 
 Defined cases: null urls and urls without ``://`` have empty host and path and fit nothing; an
 empty list leaves every url to the default; repeated rows are judged each on their own; repeated
@@ -21,8 +22,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import saved
+
 WORDS = 8  # 64-bit words in a block; a key sets one bit in each
 BITS_PER_KEY = 16
+PIECE = 1024  # blocks put in order together
 MAX_FILTER_BYTES = 8 << 20  # beyond it the filter grows no more: more false positives, same result
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,13 +68,18 @@ def _bit(key: Column, word: int) -> Column:
 
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row: filter, a map from block number to its words. keys has a column key."""
+    """One row: filter, the blocks' words in the blocks' order. keys has a column key.
+
+    Blocks are put in order in pieces of PIECE and the pieces one after another, so the work grows with the blocks.
+    """
     placed = keys.select(_place(F.col("key"), blocks).alias("block"), *[_bit(F.col("key"), w).alias(f"w{w}") for w in range(WORDS)])
-    by_block = placed.groupBy("block").agg(F.array(*[F.bit_or(f"w{w}") for w in range(WORDS)]).alias("words"))
-    pairs = by_block.agg(F.collect_list(F.struct("block", "words")).alias("all"))
-    # as many blocks as asked for, in order, so that a block is found by its place
-    sparse = F.map_from_entries("all")
-    return pairs.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.try_element_at(sparse, i)).alias("filter"))
+    of_block = placed.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
+    empty = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), *[F.lit(0).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    filled = of_block.unionByName(empty).groupBy("block").agg(F.array(*[F.bit_or(f"w{w}") for w in range(WORDS)]).alias("words"))
+    # a piece has a row for each of its blocks, PIECE at most
+    pieces = filled.groupBy((F.col("block") / PIECE).cast("int").alias("piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "words"))), lambda x: x["words"]).alias("words"))
+    whole = pieces.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "words"))), lambda x: x["words"])).alias("filter"))
+    return whole
 
 
 def _passes(bloom: Column, key: Column, blocks: int) -> Column:
@@ -88,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listing: DataFrame, *, defau
     The rule decides; else the listing; else the default.
     """
     spark = pages.sparkSession
-    listed = _listed(rules, listing)
+    listed = saved(_listed(rules, listing), "listed-urls")
     # a row each for the shapes of keys; their number does not grow with the number of urls
     shapes = [(r.labels, r.chars) for r in listed.select("labels", "chars").distinct().orderBy("labels", "chars").toLocalIterator()]
     number = listed.count()
@@ -104,11 +113,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listing: DataFrame, *, defau
     judged = judged.withColumn("bloom", bloom_filter(listed.select("key"), blocks).scalar())
     tested = [F.when(_passes(F.col("bloom"), k, blocks), k) for k in keys]
     possible = judged.withColumn("keys", F.array_compact(F.array_distinct(F.array(*tested))) if tested else F.array().cast("array<string>"))
-    wide = possible.select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key"))
-    met = wide.join(listed.select("key", "source", "verdict"), "key", "left")
     size = F.length("key")
     best = lambda source: F.max(F.when(F.col("source") == source, F.struct(size.alias("size"), "key", "verdict")))
+    hits = possible.where(F.size("keys") > 0).select("row", "page_id", "host", "path", F.explode("keys").alias("key"))
+    # a saved list and plain hits: a join that Spark can split where many urls have one key
+    met = hits.join(listed.select("key", "source", "verdict"), "key", "left")
     found = met.groupBy("row", "page_id", "host", "path").agg(best(2).alias("r"), best(1).alias("l"))
-    return found.select(
-        "page_id", "host", "path", F.col("r.key").alias("rule"), F.col("l.key").alias("listed"), F.coalesce("r.verdict", "l.verdict", F.lit(default)).alias("verdict"),
-    )
+    clear = possible.where(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("listed"), F.lit(default).alias("verdict"))
+    return clear.unionByName(
+        found.select("page_id", "host", "path", F.col("r.key").alias("rule"), F.col("l.key").alias("listed"), F.coalesce("r.verdict", "l.verdict", F.lit(default)).alias("verdict"))
+    )
