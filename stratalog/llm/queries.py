@@ -55,7 +55,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(docs, toxicity_labels(spark, sf_dir)))
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that the labels table knows: low quality first, then toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after another by logistic regressions over which words and beginnings
-of words (of PREFIXES letters, so that inflected forms count together) of a vocabulary a text holds; each later model also sees the earlier categories' probabilities. In training these are
-out-of-fold predictions, so that a later model learns how far to trust them on unseen texts.
-
-The labels table says whether a document is toxic. The kinds of toxicity that come before it in
-the chain are labelled within the labelled rows: a toxic document that holds a word of a kind's
-list below is of that kind.
+The categories, 0/1 columns of the labels table in a given order, are predicted one after another by
+logistic regressions over which words and beginnings of words (of PREFIXES letters, so that inflected
+forms count together) of a vocabulary a text holds; each later model also sees the earlier categories'
+probabilities. In training these are out-of-fold predictions, so that a later model learns how far to
+trust them on unseen texts. The last category decides; where it has no label a row is not used, and
+where an earlier one has none the row is left out of that category's training only.
 
 The models are fitted on a bounded sample: at most SAMPLE labelled documents, those with the
 smallest hashes of doc_id. The vocabulary has at most WORDS words, those that tell most (by
@@ -29,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import saved
+
 SAMPLE = 8_000
 WORDS = 2_048
 LEAST = 5
@@ -36,16 +37,9 @@ PREFIXES = (4, 5, 6)
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Words that tell the kinds apart.
-KINDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid", "fool", "dumb"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash", "scum", "garbage", "vermin"),
-}
-CHAIN = (*KINDS, "toxic")
-
-
 @dataclass(frozen=True)
 class Chain:
+    names: tuple[str, ...]
     vocabulary: dict[str, int]
     weights: np.ndarray  # categories x (words + earlier categories + 1)
     threshold: float
@@ -53,7 +47,7 @@ class Chain:
     def predict(self, ids: list[np.ndarray]) -> np.ndarray:
         """Probabilities, documents x categories."""
         if not self.vocabulary:
-            return np.zeros((len(ids), len(CHAIN)))
+            return np.zeros((len(ids), len(self.names)))
         return _predict(self.weights, len(self.vocabulary), *_flat(ids))
 
     def rejects(self, ids: list[np.ndarray], p: np.ndarray) -> np.ndarray:
@@ -96,24 +90,25 @@ def _taken(rows: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
     return place[rows[here]], ids[here]
 
 
-def fit_chain(vocabulary: dict[str, int], ids: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """labels: documents x categories of the chain."""
+def fit_chain(names: tuple[str, ...], vocabulary: dict[str, int], ids: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
+    """labels: documents x categories of the chain, nan where there is none."""
     rows, flat, n = _flat(ids)
     words = len(vocabulary)
-    unseen = np.zeros((n, len(CHAIN)))
-    weights = np.zeros((len(CHAIN), words + len(CHAIN)))
-    for c in range(len(CHAIN)):
+    unseen = np.zeros((n, len(names)))
+    weights = np.zeros((len(names), words + len(names)))
+    for c in range(len(names)):
+        told = ~np.isnan(labels[:, c])
         for k in range(FOLDS):
-            keep = folds != k
+            keep = (folds != k) & told
             w = _regress(*_taken(rows, flat, keep), unseen[keep, :c], labels[keep, c], words)
-            out = ~keep
+            out = folds == k
             r, i = _taken(rows, flat, out)
             unseen[out, c] = _sigmoid(np.bincount(r, w[i], int(out.sum())) + unseen[out, :c] @ w[words:-1] + w[-1])
-        w = _regress(rows, flat, unseen[:, :c], labels[:, c], words)
+        w = _regress(*_taken(rows, flat, told), unseen[told, :c], labels[told, c], words)
         weights[c, : words + c], weights[c, -1] = w[:-1], w[-1]
     toxic, p = labels[:, -1] > 0, unseen[:, -1]
     score = lambda t: 2 * (toxic & (p >= t)).sum() / max(1, toxic.sum() + (p >= t).sum())
-    return Chain(vocabulary, weights, max((0.2, 0.3, 0.4, 0.5, 0.6, 0.7), key=lambda t: (round(score(t), 3), -abs(t - 0.5))))
+    return Chain(names, vocabulary, weights, max((0.2, 0.3, 0.4, 0.5, 0.6, 0.7), key=lambda t: (round(score(t), 3), -abs(t - 0.5))))
 
 
 def _words(text: str | None) -> set[str]:
@@ -121,23 +116,23 @@ def _words(text: str | None) -> set[str]:
     return found.union(*[{w[:n] for w in found} for n in PREFIXES])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, *, chain: tuple[str, ...] = ("low_quality", "toxic"), sample: int = SAMPLE) -> Chain:
+    """labels: doc_id and a 0/1 column for each category of the chain."""
     spark = docs.sparkSession
-    empty = Chain({}, np.zeros((len(CHAIN), len(CHAIN))), 0.5)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # SAMPLE rows of two numbers: small whatever the input
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    empty = Chain(chain, {}, np.zeros((len(chain), len(chain))), 0.5)
+    last = chain[-1]
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(last).isNotNull()).groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"is_{c}") for c in chain])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.array(*[f"is_{c}" for c in chain]).alias("told"), F.col(f"is_{last}").alias("toxic"))
+    # SAMPLE rows of a few numbers: small whatever the input
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("told").alias("told"), F.max("toxic").alias("toxic"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(k, 200) for batch in batches for k in range(0, batch.num_rows, 200)):
             found = [sorted(_words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2)], ["doc_id", "words", "toxic"])
-
-    from stratalog.llm.common import saved
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string())), b.column(2), b.column(3)], ["doc_id", "words", "told", "toxic"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    met = saved(texts.mapInArrow(words_of, f"doc_id {id_type}, words array<string>, toxic int"), "labelled")
+    met = saved(texts.mapInArrow(words_of, f"doc_id {id_type}, words array<string>, told array<int>, toxic int"), "labelled")
     n, positive = met.agg(F.count("*"), F.sum("toxic")).first()
     if not positive or positive == n:
         return empty
@@ -153,20 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Chain:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
         for b in batches:
-            lists = b.column(1).to_pylist()
-            ids = [np.array(sorted(place[w] for w in x if w in place), np.int32).tobytes() for x in lists]
-            kinds = [[int(bool(t and any(w in x for w in of_kind))) for of_kind in KINDS.values()] for x, t in zip(map(set, lists), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), b.column(2)], ["doc_id", "ids", "kinds", "toxic"])
+            ids = [np.array(sorted(place[w] for w in x if w in place), np.int32).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(2)], ["doc_id", "ids", "told"])
 
-    rows = met.mapInArrow(coded, f"doc_id {id_type}, ids binary, kinds array<int>, toxic int").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).orderBy("doc_id").collect()
-    labels_of = np.array([[*r.kinds, r.toxic] for r in rows], float)
-    return fit_chain(vocabulary, [np.frombuffer(r.ids, np.int32).astype(np.int64) for r in rows], labels_of, np.array([r.fold for r in rows]))
+    rows = met.mapInArrow(coded, f"doc_id {id_type}, ids binary, told array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).orderBy("doc_id").collect()
+    labels_of = np.array([[np.nan if x is None else x for x in r.told] for r in rows], float)
+    return fit_chain(chain, vocabulary, [np.frombuffer(r.ids, np.int32).astype(np.int64) for r in rows], labels_of, np.array([r.fold for r in rows]))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, p_<category> for each category of the chain, toxic (1 or 0) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    names = [f"p_{c}" for c in CHAIN]
+    names = [f"p_{c}" for c in chain.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
@@ -178,7 +171,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 ids = [np.array([place[w] for w in _words(t) & known], np.int64) for t in part.column(1).to_pylist()]
                 p = np.round(chain.predict(ids), 9)
                 toxic = chain.rejects(ids, p).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, c]) for c in range(len(CHAIN))], pa.array(toxic)], ["doc_id", *names, "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, c]) for c in range(len(names))], pa.array(toxic)], ["doc_id", *names, "toxic"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{x} double" for x in names) + ", toxic int")
