@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import fresh, quoted, saved
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "id")
 LABELERS = ("by_form", "by_list", "by_context")
@@ -46,7 +48,7 @@ LISTED = {
     "card": r"^(?:4|5[1-5]|3[47]|6011|35|2[2-7])",
     "phone": r"^\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "secret": r"^(?:AKIA|ASIA|ghp_|gho_|sk-|pk-|xox[abp]-|eyJ|AIza)",
-    "id": r"^(?!)",
+    "id": r"^(?:4[0-9]{12}|4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6011[0-9]{12}|1[0-9]{10}|[1-8][0-9]{8})$",
 }
 LEFT = 32  # code points of context
 TRUST = 10.0  # rows that the labelers' assumed reliabilities weigh
@@ -119,8 +121,8 @@ def _judged(kind: str, matches: Column) -> Column:
 FEATURES = {"k": len(KINDS), "size": 7, "digits": 5, "upper": 2, "before": 3}
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs and base array<struct<start, k, end>>, found array of all candidates with votes and features."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct of base and more, arrays of the candidates with votes and features."""
     text = F.coalesce("text", F.lit(""))
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     valid = {}
@@ -129,7 +131,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         if kind in may:
             matches = F.when(may[kind], matches).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,left:string>>"))
         valid[kind] = _judged(kind, matches)
-    return docs.withColumns({"__base": F.concat(*[valid[k] for k in BASE]), "__more": F.concat(*[valid[k] for k in KINDS if k not in BASE])})
+    held = fresh(docs.columns, "candidates")
+    both = F.struct(F.concat(*[valid[k] for k in BASE]).alias("base"), F.concat(*[valid[k] for k in KINDS if k not in BASE]).alias("more"))
+    return docs.select("*", both.alias(held)), held
 
 
 @dataclass(frozen=True)
@@ -188,9 +192,9 @@ def train(rows: list[tuple[tuple[int, ...], float, float]], steps: int = 300) ->
     return weights, bias
 
 
-def fit(docs: DataFrame) -> SpanModel:
-    """Counts the patterns over all documents and fits reliabilities and the span classifier to them."""
-    every = candidates(docs.select("text")).select(F.explode(F.concat("__base", "__more")).alias("c"))
+def fit(found: DataFrame, held: str) -> SpanModel:
+    """Counts the patterns of all candidates (as candidates() gives them) and fits reliabilities and the span classifier to them."""
+    every = found.select(F.explode(F.concat(F.col(held)["base"], F.col(held)["more"])).alias("c"))
     names = [*FEATURES, *LABELERS]
     rows = every.groupBy(*[F.col(f"c.{n}").alias(n) for n in names]).count().toLocalIterator()
     seen = [(tuple(r[n] for n in FEATURES), tuple(r[n] for n in LABELERS), float(r["count"])) for r in rows]
@@ -202,7 +206,14 @@ def fit(docs: DataFrame) -> SpanModel:
     return SpanModel(prior, reliability, weights, bias)
 
 
-def _annotated(docs: DataFrame, model: SpanModel, base: str, spans: str) -> DataFrame:
+def _annotated(docs: DataFrame, model: SpanModel | None) -> tuple[DataFrame, Column, Column]:
+    """docs with a column more, and the sorted base and all spans as expressions over it. Without a model, candidates are written once and read twice."""
+    found, held = candidates(docs)
+    if model is None:
+        found = saved(found, "personal-data-candidates")
+        model = fit(found, held)
+    base, more = F.col(held)["base"], F.col(held)["more"]
+
     def score(c: Column) -> Column:
         z = F.lit(model.bias)
         for name in FEATURES:
@@ -213,15 +224,17 @@ def _annotated(docs: DataFrame, model: SpanModel, base: str, spans: str) -> Data
         return z
 
     place = lambda c: F.struct(c["start"], c["k"], c["end"])
-    found = candidates(docs).withColumn(base, F.sort_array(F.transform("__base", place)))
-    free = lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.transform(F.filter("__more", lambda c: (score(c) >= 0) & free(c)), place)
-    return found.withColumn(spans, F.sort_array(F.concat(F.transform("__base", place), more))).drop("__base", "__more")
+    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    taken = F.transform(F.filter(more, lambda c: (score(c) >= 0) & free(c)), place)
+    sure = F.transform(base, place)
+    return found, F.sort_array(sure), F.sort_array(F.concat(sure, taken))
 
 
 def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """docs with base and spans (in place of columns so named), both array<struct<start, k, end>> sorted; k is the kind's place in KINDS."""
-    return _annotated(docs, model or fit(docs), "base", "spans")
+    found, base, spans = _annotated(docs, model)
+    others = [F.col(quoted(c)) for c in docs.columns if c.lower() not in ("base", "spans")]
+    return found.select(*others, base.alias("base"), spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -230,8 +243,8 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """docs with each span of text, overlapping ones together, replaced by the first one's kind in brackets."""
-    found = _annotated(docs, model or fit(docs), "__checked", "__spans")
+    """docs with each span of text, overlapping ones together, replaced by the first one's kind in brackets; other columns as they are."""
+    found, _, spans = _annotated(docs, model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
 
@@ -240,12 +253,13 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         wider = F.struct(last["start"], last["k"], F.greatest(last["end"], s["end"]).alias("end"))
         return F.when((F.size(a) > 0) & (s["start"] < last["end"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a, F.array(s)))
 
-    found = found.withColumn("__apart", F.aggregate("__spans", none, join))
+    apart = fresh(docs.columns, "apart")
+    found = found.select(*[F.col(quoted(c)) for c in docs.columns], F.aggregate(spans, none, join).alias(apart))
 
     def piece(s: Column, i: Column) -> Column:
-        at = F.coalesce(F.get("__apart", i - 1)["end"], F.lit(0))
+        at = F.coalesce(F.get(apart, i - 1)["end"], F.lit(0))
         return F.concat(F.substr("text", at + 1, s["start"] - at), F.get(names, s["k"]))
 
-    end = F.coalesce(F.get("__apart", F.size("__apart") - 1)["end"], F.lit(0))
-    text = F.concat(F.array_join(F.transform("__apart", piece), ""), F.substr("text", end + 1))
-    return found.withColumn("text", F.when(F.size("__apart") > 0, text).otherwise(F.col("text"))).drop("__apart", "__checked", "__spans")
+    end = F.coalesce(F.get(apart, F.size(apart) - 1)["end"], F.lit(0))
+    text = F.concat(F.array_join(F.transform(apart, piece), ""), F.substr("text", end + 1))
+    return found.withColumn("text", F.when(F.size(apart) > 0, text).otherwise(F.col("text"))).drop(apart)
