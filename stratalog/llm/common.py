@@ -5,10 +5,17 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,68 +25,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, a laptop) a temporary folder of this machine stands in.
+    Where it is unset and the master is local (tests, a laptop), a temporary folder of this machine
+    stands in; elsewhere that is an error, since executors don't see this machine's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="stratalog-"))
     return _OWN_FOLDER[0]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/stratalog/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stratalog/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
+
+    The folder stays, since a lost executor's work is done again from it; forget() removes all of a session's.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what saved() and the archives have written in the shared folder, once no result that reads it is needed any more."""
+    for path in _WRITTEN:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.clear()
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name that none of columns has (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets shuffle files of finished steps go now: Spark deletes them when the driver has collected their plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-BLOOM_BITS = 23
+MIN_BLOOM, MAX_BLOOM = 20, 27  # powers of two: 128 KB to 16 MB
+
 
+@dataclass(frozen=True)
+class Bloom:
+    """A Bloom filter over a column as a broadcast; its size follows the number of ids up to 16 MB, and filled beyond that it rules out less."""
 
-def bit_of(column: str):
-    from pyspark.sql import functions as F
+    bits: int
+    words: Broadcast
 
-    return F.pmod(F.xxhash64(column), F.lit(1 << BLOOM_BITS))
+    def bit(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << self.bits))
 
+    def holds(self, bit: np.ndarray) -> np.ndarray:
+        return ((self.words.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
 
-def bloom_of(ids: DataFrame, column: str):
-    """A Bloom filter of a fixed size (1 MB) over a column, as a broadcast; filled beyond its size it holds everything."""
-    import numpy as np
-    from pyspark.sql import functions as F
 
-    bit = bit_of(column)
-    words = ids.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(1 << BLOOM_BITS - 6, np.int64)
-    for r in words.toLocalIterator():
-        bits[r.w] = r.b
-    return ids.sparkSession.sparkContext.broadcast(bits)
+def bloom_of(ids: DataFrame, column: str) -> Bloom:
+    """ids should be a written table: it is read twice. Only the filter's words reach the driver."""
+    size = min(MAX_BLOOM, max(MIN_BLOOM, (16 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << size))
+    words = ids.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << size - 6, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return Bloom(size, ids.sparkSession.sparkContext.broadcast(bits))
 
 
 def _ruled(rows: DataFrame, ids: DataFrame, column: str):
     """A function from False to rows whose column a Bloom filter over ids rules out, from True to the others."""
-    import pyarrow as pa
-
     bloom = bloom_of(ids, column)
-    marked = rows.withColumn("__bit", bit_of(column))
+    marked = rows.select("*", bloom.bit(quoted(column)).alias(fresh(rows.columns, "bit")))
 
     def kept(inside: bool):
         def run(batches):
             for batch in batches:
-                bit = batch.column(batch.num_columns - 1).to_numpy()
-                found = ((bloom.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
-                part = batch.filter(pa.array(found == inside))
+                part = batch.filter(pa.array(bloom.holds(batch.column(batch.num_columns - 1).to_numpy()) == inside))
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
 
         return marked.mapInArrow(run, rows.schema)
@@ -90,9 +126,14 @@ def _ruled(rows: DataFrame, ids: DataFrame, column: str):
 def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """rows whose column is not in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
     kept = _ruled(rows, ids, column)
-    return kept(False).unionByName(kept(True).join(ids.select(column), column, "left_anti").select(*rows.columns))
+    return kept(False).unionByName(_met(kept(True), ids, column, "left_anti"))
 
 
 def among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """rows whose column is in ids, unchanged; only those that a Bloom filter can't rule out are shuffled."""
-    return _ruled(rows, ids, column)(True).join(ids.select(column), column, "left_semi").select(*rows.columns)
+    return _met(_ruled(rows, ids, column)(True), ids, column, "left_semi")
+
+
+def _met(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    key = fresh(rows.columns, "key")
+    return rows.join(ids.select(F.col(quoted(column)).alias(key)), F.col(quoted(column)) == F.col(key), how)

@@ -16,8 +16,12 @@ with a smaller doc_id, or earlier in the same one); strings are judged on the in
 4. Suffix arrays. What is left of one anchor's segments is put into one string and its suffixes sorted
    by Lyndon groups (suffix_groups). Neighbours in that order which share 100 bytes are equal windows;
    the earliest keeps its bytes, the others are removed.
-   An anchor with more than CLASSES classes is dealt out further by the hashes of its windows; no
-   task holds more than a bounded number of segments of one anchor, and nothing is left out.
+   An anchor with more than CLASSES classes is made longer first, and so its group split: of the bytes
+   that a window has besides its anchor, half or more stand before it, or half or more behind. So the
+   windows of a segment are cut into two segments, one under the anchor with the half before it and one under the
+   anchor with the half behind it, and equal windows still meet. Steps 2 to 4 then go on with these,
+   again and again until no anchor has too many; at the latest an anchor is a whole window, and a
+   class. No task holds more than a bounded number of segments of one anchor, and nothing is left out.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; repeated rows
 of one doc_id are one document, given back as often as they are there; rows with a null doc_id are left
@@ -34,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bit_of, bloom_of, saved
+from stratalog.llm.common import Bloom, bloom_of, saved
 from stratalog.llm.suffix_groups import suffix_array
 
 WINDOW = 100
 GRAM = 24
 CLASSES = 1 << 15  # segments of an anchor that are held together, of at most 175 bytes each
+TASKS = 20_000  # that the sorting is dealt to, at most; a task holds one anchor at a time
 CHUNK = 1 << 19  # bytes hashed at a time
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,22 +183,21 @@ def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", bit_of("doc_id").alias("bit"))
+def _marked(docs: DataFrame, marks: Bloom) -> DataFrame:
+    return docs.select("doc_id", "text", marks.bit("doc_id").alias("bit"))
 
 
-def _texts_of(docs: DataFrame, marks) -> DataFrame:
+def _texts_of(docs: DataFrame, marks: Bloom) -> DataFrame:
     """doc, text of the documents that marks may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            own = np.flatnonzero((marks.value[bit >> 6] >> (bit & 63)) & 1)
+            own = np.flatnonzero(marks.holds(batch.column(2).to_numpy()))
             for k in range(0, len(own), 500):
                 part = batch.take(pa.array(own[k : k + 500]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_bytes_of(part, 1), pa.binary())], ["doc", "text"])
 
-    return _marked(docs).mapInArrow(run, "doc long, text binary")
+    return _marked(docs, marks).mapInArrow(run, "doc long, text binary")
 
 
 def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -222,47 +226,82 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = F.col("place").bitwiseAND(0xFFF)
     start = F.shiftright("place", 24)
     classes = saved(shared.groupBy("anchor", "content", size.alias("size")).agg(F.min(F.struct("doc", start.alias("start"))).alias("first"), F.min(F.shiftright("place", 12).bitwiseAND(0xFFF)).alias("at"), F.count("*").alias("n")), "segment-classes")
-    of_several = classes.where("n > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.col("size").alias("z"), "first")
+    # written too, for the same reason
+    of_several = saved(classes.where("n > 1").select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.col("size").alias("z"), "first"), "repeated-segments")
     met = shared.join(of_several, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")) & (size == F.col("z")))
-    copies = met.select("doc", start.alias("start"), (start + size).alias("end"), "first").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).drop("first")
+    found = met.select("doc", start.alias("start"), (start + size).alias("end"), "first").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).drop("first")
 
-    counted = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
-    wanted = classes.join(counted, "anchor").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), F.col("size").cast("long").alias("size"), "at", "anchor", (F.col("classes") > CLASSES).alias("crowded")).alias("s"))
+    counted = saved(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "anchors-of-several")
+    wanted = classes.join(counted, "anchor").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.start").alias("start"), F.col("size").cast("long").alias("size"), "at", "anchor").alias("s"))
     wanted = saved(wanted.groupBy("doc").agg(F.collect_list("s").alias("segments")), "segments-by-document")
     texts = _texts_of(docs, bloom_of(wanted, "doc")).join(wanted, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments; of crowded anchors the windows, under 128 bits of their hash."""
         for batch in batches:
             rows, held = [], 0
             for doc, text, segments in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for s in segments:
-                    x = text[s["start"] : s["start"] + s["size"]]
-                    if not s["crowded"]:
-                        rows.append((s["anchor"], 0, doc, s["start"], s["at"], x))
-                        held += len(x)
-                    else:
-                        for o in range(len(x) - window + 1):
-                            h = xxhash.xxh3_128_intdigest(x[o : o + window])
-                            rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63) or 1, doc, s["start"] + o, 0, b""))
+                    rows.append((s["anchor"], doc, s["start"], s["at"], text[s["start"] : s["start"] + s["size"]]))
+                    held += s["size"]
                 if len(rows) > 20_000 or held > 4 << 20:
                     yield _packed(rows)
                     rows, held = [], 0
             if rows:
                 yield _packed(rows)
 
-    def _packed(rows: list[tuple]) -> pa.RecordBatch:
-        types = (*[pa.int64()] * 5, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "low", "doc", "start", "at", "bytes"])
+    pieces = saved(texts.mapInArrow(cut, _PIECES), "segment-bytes")
+    gram = min(GRAM, window)
+    while True:
+        crowded = saved(counted.where(F.col("classes") > CLASSES).select("anchor"), "crowded-anchors")
+        if crowded.isEmpty():
+            return found.unionByName(_sorted_repeats(pieces, window, gram))
+        found = found.unionByName(_sorted_repeats(pieces.join(crowded, "anchor", "left_anti"), window, gram))
+        more = (window - gram + 1) // 2
+        split = saved(pieces.join(crowded, "anchor", "left_semi").select("anchor", "doc", "start", "at", "bytes").mapInArrow(_splitter(window, gram, more), _PIECES), "split-segments")
+        gram += more
+        firsts = saved(split.groupBy("anchor", "bytes").agg(F.min(F.struct("doc", "start", "at")).alias("first"), F.count("*").alias("n")), "split-classes")
+        first = firsts.where("n > 1").select(F.col("anchor").alias("a"), F.col("bytes").alias("b"), "first")
+        again = split.join(saved(first, "repeated-segments"), (F.col("anchor") == F.col("a")) & (F.col("bytes") == F.col("b"))).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+        found = found.unionByName(again.select("doc", "start", (F.col("start") + F.octet_length("bytes")).alias("end")))
+        counted = saved(firsts.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "anchors-of-several")
+        pieces = firsts.join(counted, "anchor", "left_semi").select("anchor", "first.doc", "first.start", "first.at", "bytes")
 
-    pieces = saved(texts.mapInArrow(cut, "anchor long, low long, doc long, start long, at long, bytes binary"), "segment-bytes")
+
+_PIECES = "anchor long, doc long, start long, at long, bytes binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["anchor", "doc", "start", "at", "bytes"])
+
+
+def _splitter(window: int, gram: int, more: int):
+    """From segments of an anchor of gram bytes to those of the anchors with more bytes before it, and behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, doc, start, at, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for side, low, high in (0, at - more, at + gram), (1, at, at + gram + more):
+                    # the windows that hold all of the new anchor
+                    a, b = max(0, high - window), min(len(x), low + window)
+                    if low >= 0 and high <= len(x) and b - a >= window:
+                        key = xxhash.xxh3_64_intdigest(x[low:high], seed=(anchor ^ side) & (1 << 64) - 1)
+                        rows.append((key - (1 << 63), doc, start + a, low - a, x[a:b]))
+            yield _packed(rows)
+
+    return run
+
+
+def _sorted_repeats(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc, start, end: what the suffix arrays of each anchor's segments find."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, segments, found = None, [], []
 
         def close() -> None:
             if len(segments) > 1:
-                found.extend(repeats(segments, window, min(GRAM, window)))
+                found.extend(repeats(segments, window, gram))
 
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["doc", "start", "end"])
@@ -280,13 +319,9 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield packed()
 
     # tasks by the work, a MB of segments each: AQE would merge them to tasks of many MB
-    work = pieces.where("low = 0").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    sorted_pieces = pieces.where("low = 0").select("anchor", "doc", "start", "at", "bytes").repartition(int(work // (1 << 20)) + 1, "anchor").sortWithinPartitions("anchor", "doc", "start")
-    by_suffix = sorted_pieces.mapInArrow(sort, "doc long, start long, end long")
-    windows = pieces.where("low <> 0").select("anchor", "low", "doc", "start")
-    first = windows.groupBy("anchor", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = windows.join(first, ["anchor", "low"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", (F.col("start") + window).alias("end"))
-    return copies.unionByName(by_suffix).unionByName(crowded)
+    work = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    ordered = pieces.select("anchor", "doc", "start", "at", "bytes").repartition(min(TASKS, int(work // (1 << 20)) + 1), "anchor").sortWithinPartitions("anchor", "doc", "start")
+    return ordered.mapInArrow(sort, "doc long, start long, end long")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -310,8 +345,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            own = np.flatnonzero(~((marks.value[bit >> 6] >> (bit & 63)) & 1).astype(bool))
+            own = np.flatnonzero(~marks.holds(batch.column(2).to_numpy()))
             for k in range(0, len(own), 500):
                 part = batch.take(pa.array(own[k : k + 500]))
                 texts = _bytes_of(part, 1)
@@ -331,5 +365,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), of_runs, pa.binary()), strict=True)], names)
 
     touched = _texts_of(docs, marks).join(runs, "doc", "left").select("doc", "text", "starts", "ends")
-    return _marked(docs).mapInArrow(whole, out).unionByName(touched.mapInArrow(reduced, out))
+    return _marked(docs, marks).mapInArrow(whole, out).unionByName(touched.mapInArrow(reduced, out))
 

@@ -1,4 +1,6 @@
-"""Suffix sorting by Lyndon groups, in linear time and without recursive renaming.
+"""Suffix sorting by Lyndon groups without recursive renaming.
+
+The visited groups are kept sorted by place, which costs a logarithm over linear time in the worst case.
 
 Phase 1 begins with a group of suffixes for each symbol and visits the groups in descending order.
 For each suffix of the visited group, its previous smaller pointer is the nearest suffix before it
