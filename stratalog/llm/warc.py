@@ -38,6 +38,7 @@ DATE = "1970-01-01T00:00:00Z"  # pages has no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 1 << 20
 LEVEL = 3
+TASKS = 20_000
 ARCHIVE_BYTES = 64 << 20  # of records in an archive before the next one is begun
 
 
@@ -164,6 +165,8 @@ def revisits(written: DataFrame, least_bytes: int = 0) -> DataFrame:
     long_enough = F.col("bytes") >= least_bytes
     place = F.struct("page_id", "archive", "ordinal")
     first = written.where(long_enough).groupBy("digest", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "first")
+    # written first: only a join of two plain exchanges can be split where many records have one payload
+    first = saved(first, "warc-first")
     joined = written.join(first, ["digest", "bytes"], "left")
     other = F.col("first").isNotNull() & long_enough & (place != F.col("first"))
     return joined.select(*written.columns, F.when(other, F.col("first.page_id")).alias("refers_to"))
@@ -217,7 +220,8 @@ def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def _archives(rows: DataFrame) -> int:
-    return max(1, rows.select("archive").distinct().count())
+    """Tasks for archives, which a task takes one after another."""
+    return max(1, min(TASKS, rows.select("archive").distinct().count()))
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
