@@ -54,7 +54,7 @@ def plain_components(texts):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_components(docs, monkeypatch, small):
     if small:  # every bound is reached
-        for name, value in (("SHORT_LIST", 3), ("BUNDLE", 900), ("BLOCK", 4), ("FLUSH", 500), ("HEAP", 50)):
+        for name, value in (("SHORT_LIST", 3), ("BUNDLE", 900), ("BLOCK", 4), ("FLUSH", 500)):
             monkeypatch.setattr(jaccard_join, name, value)
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs).collect()}
@@ -104,9 +104,13 @@ def test_repeats(spark, docs, monkeypatch, small):
     phrase = "".join(random.Random(5).choices("abcdefgh é", k=400))
     texts = {9500: phrase, 9501: "x" + phrase[50:350] + "y", 9502: phrase[100:250] + phrase[100:250], 9503: "z" * 1000, 9504: phrase[:99], 9505: "ab" * 300}
     more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    every = docs.select("doc_id", "text").where("doc_id not in (9007, 9008) and doc_id < 60 or doc_id >= 5000").where("doc_id not in (9007, 9008)").unionByName(more)
+    every = docs.select("doc_id", "text").where("doc_id < 60 or doc_id >= 5000").unionByName(more)
     want = plain_repeats({r.doc_id: r.text for r in every.collect()})
+    rounds = []
+    split = suffix_dedup._splitter
+    monkeypatch.setattr(suffix_dedup, "_splitter", lambda *x: rounds.append(x) or split(*x))
     got = suffix_dedup.remove_repeats(every).collect()
+    assert len(rounds) > 1 if small else not rounds
     for r in got:
         assert (r.n_bytes, sum(x.end - x.start for x in r.runs), len(r.runs), bytes(r.kept)) == want[r.doc_id], r.doc_id
     assert {r.doc_id for r in got} == set(want)
@@ -162,6 +166,50 @@ def test_vectors_of_the_usual_length(spark):
     assert {r.query_id for r in got} == {0, 20, 40} and len(got) == 60 and max(r.vec_id for r in got) < 60
 
 
+def test_probed_share_falls_as_vectors_grow():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 16))
+    shares = []
+    for n in (1_000, 16_000):
+        x = centres[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 16))
+        lists = round(4 * n**0.5)
+        index = vector_search.fit(x[:8_192], lists=lists)
+        probes = vector_search.probes_for(index, x[:8_192], 20)
+        near, _ = index.assign(x)
+        hit = 0
+        for i in range(0, n, n // 50):
+            score = x @ x[i]
+            score[i] = -9e9
+            probed = np.argsort(-(index.coarse @ x[i]))[:probes]
+            hit += np.isin(near[np.argsort(-score)[:20]], probed).sum()
+        assert hit >= 0.93 * 50 * 20
+        shares.append(probes / lists)
+    assert shares[1] < shares[0] / 2
+
+
+def test_blocks_are_bounded():
+    sizes = [5, 0, 30, 4, 4, 4, 9, 1]
+    of = vector_search.blocks_of(sizes, 10)
+    held = {}
+    for n, (first, many) in zip(sizes, of, strict=True):
+        for k in range(many):
+            held[first + k] = held.get(first + k, 0) + -(-n // many)
+    assert max(held.values()) <= 10 and of[2][1] == 3 and sum(held.values()) == sum(sizes)
+
+
+def test_vectors_in_small_blocks_and_parts(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_search.search(df, query_step=7, k=5, block=50, part=10, rerank=20).collect()
+    hit = 0
+    for q in range(0, 600, 7):
+        score = x @ x[q]
+        score[q] = -9e9
+        hit += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hit >= 0.9 * 5 * len(range(0, 600, 7))
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(10**5)}"
@@ -211,12 +259,12 @@ def test_hamming_blocks_find_all_within_radius():
 
 
 def test_toxicity_on_unseen_rows(spark):
-    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), queries.toxicity_labels(spark, "/root/testdata/sf0.1")
     unseen = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     chain = toxicity.fit(d, lab.where(~unseen))
-    got = toxicity.score(d, chain).join(lab.where(unseen).withColumnRenamed("toxic", "label"), "doc_id").collect()
+    got = toxicity.score(d, chain).join(lab.where(unseen).select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
     hit = sum(r.toxic and r.label for r in got)
-    assert hit / max(1, sum(r.toxic for r in got)) >= 0.9 and hit / sum(r.label for r in got) >= 0.75
+    assert hit / max(1, sum(r.toxic for r in got)) >= 0.9 and hit / sum(r.label for r in got) >= 0.85
     kept = toxicity.without_toxic(d, chain)
     assert kept.schema == d.schema
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in toxicity.score(d, chain).where("toxic = 0").collect()}
@@ -226,9 +274,10 @@ def test_toxicity_cases(spark):
     rows = [(i, ("you idiot " if i % 2 else "kind words ") + f"text{i}", "clash") for i in range(60)] + [(70, None, "x"), (71, "", None), (None, "an idiot", None), (3, "you idiot text3", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
     lab = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(3, 0, 0), (None, 1, 1), (5, 1, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    lab = lab.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.fit(d, lab)
     got = toxicity.score(d, chain)
-    assert got.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"] and got.count() == len(rows)
+    assert got.columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"] and got.count() == len(rows)
     assert all(r.toxic == (1 if r.doc_id is None else r.doc_id % 2 if r.doc_id < 60 else 0) for r in got.collect())
     for nothing in (lab.limit(0), lab.where("toxic = 1"), lab.where("doc_id = 999")):
         assert {r.toxic for r in toxicity.score(d, toxicity.fit(d, nothing)).collect()} == {0}
@@ -240,7 +289,7 @@ def test_chain_uses_earlier_categories():
     ids = [np.unique(rng.integers(0, 30, 8)) for _ in range(400)]
     first = np.array([0 in x for x in ids], float)
     labels = np.stack([first, np.zeros(400), first], 1)
-    chain = toxicity.fit_chain({f"w{i}": i for i in range(30)}, ids, labels, rng.integers(0, 5, 400))
+    chain = toxicity.fit_chain(("a", "b", "c"), {f"w{i}": i for i in range(30)}, ids, labels, rng.integers(0, 5, 400))
     assert chain.weights[2, 30] > 0.5  # the weight of the first category's probability
     assert ((chain.predict(ids)[:, 2] >= 0.5) == (first > 0)).mean() > 0.98
 
