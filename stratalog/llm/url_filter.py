@@ -112,7 +112,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listing: DataFrame, *, defau
     # a scalar subquery may stand in no lambda, so each key is tested by itself
     judged = judged.withColumn("bloom", bloom_filter(listed.select("key"), blocks).scalar())
     tested = [F.when(_passes(F.col("bloom"), k, blocks), k) for k in keys]
-    possible = judged.withColumn("keys", F.array_compact(F.array_distinct(F.array(*tested))) if tested else F.array().cast("array<string>"))
+    possible = judged.select("row", "page_id", "host", "path", (F.array_compact(F.array_distinct(F.array(*tested))) if tested else F.array().cast("array<string>")).alias("keys"))
+    # written, so that each key is tested once though two ways go on from here
+    possible = saved(possible, "tested-urls")
     size = F.length("key")
     best = lambda source: F.max(F.when(F.col("source") == source, F.struct(size.alias("size"), "key", "verdict")))
     hits = possible.where(F.size("keys") > 0).select("row", "page_id", "host", "path", F.explode("keys").alias("key"))
