@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCALE = 4096  # what normalised frequencies sum to
+from stratalog.functions import press as streams
+from stratalog.functions.press import SCALE, normalise
+
 BLOCK = 256 << 10
 
 
@@ -107,6 +109,48 @@ def unpack(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+@F.pandas_udf(T.BinaryType())
+def press(values: pd.Series) -> pd.Series:
+    """The compressed stream format of packed assets."""
+    return values.map(lambda x: None if x is None else streams.press(_raw(x)))
+
+
+@F.pandas_udf(T.BinaryType())
+def unpress(values: pd.Series) -> pd.Series:
+    """Null for what is no whole stream."""
+
+    def one(x):
+        try:
+            return None if x is None else streams.unpress(bytes(x))
+        except ValueError:
+            return None
+
+    return values.map(one)
+
+
+def byte_histogram(payloads: DataFrame, payload: str, *by: str) -> DataFrame:
+    """symbol (0 to 255), n of the bytes of a binary or text column, per group: counted a batch at a time, then summed."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = payloads.select(*by).schema
+    schema = T.StructType([*keys.fields, T.StructField("symbol", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            held: dict = {}
+            columns = [batch.column(i).to_pylist() for i in range(len(by))]
+            for key, data in zip(zip(*columns, strict=True) if by else ((),) * batch.num_rows, batch.column(len(by)).cast(pa.binary()), strict=True):
+                if data.is_valid:
+                    held[key] = held.get(key, 0) + np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256)
+            rows = [(*key, s, int(n)) for key, counts in held.items() for s, n in enumerate(counts) if n]
+            fields = [*[batch.schema.field(i) for i in range(len(by))], pa.field("symbol", pa.int32()), pa.field("n", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+    counted = payloads.select(*by, payload).mapInArrow(run, schema)
+    return counted.groupBy(*by, "symbol").agg(F.sum("n").alias("n"))
+
+
 def packed_size_bound(size: Column) -> Column:
     """Bytes that a packed stream of size bytes can have at most."""
     return size + 13 + 9 * F.ceil(size / BLOCK)
@@ -119,25 +163,6 @@ def histogram(texts: DataFrame, text: str, *by: str) -> DataFrame:
     return counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
 
 
-def normalise(counts: dict[int, int]) -> dict[int, int]:
-    """Frequencies of byte values scaled to sum to SCALE, each at least 1; the largest (lowest value on ties) takes up the difference."""
-    total = sum(counts.values())
-    if not total:
-        return dict.fromkeys(range(256), SCALE // 256)
-    scaled = {s: max(1, n * SCALE // total) for s, n in counts.items() if n}
-    while (rest := SCALE - sum(scaled.values())) != 0:
-        ranked = sorted(scaled, key=lambda s: (-scaled[s], s))
-        best = ranked[0]
-        if rest > 0:
-            scaled[best] += rest  # it stays the largest
-        elif scaled[best] == 1:
-            break
-        else:
-            level = scaled[ranked[1]] if len(ranked) > 1 else 1
-            scaled[best] -= min(-rest, max(1, scaled[best] - level))
-    return scaled
-
-
 def normalised_frequencies(counted: DataFrame, *by: str) -> DataFrame:
     """symbol, freq from (by, symbol, n): a group has at most 256 symbols."""
 
@@ -147,15 +172,3 @@ def normalised_frequencies(counted: DataFrame, *by: str) -> DataFrame:
 
     fields = ", ".join(f"`{c}` {counted.schema[c].dataType.simpleString()}" for c in by)
     return counted.groupBy(*by).applyInPandas(one, f"{fields}, symbol int, freq int")
-
-
-def fuse_chain(secret: bytes, namespace: bytes, depth: int) -> list[bytes]:
-    """Preimages of a hash chain; the last is the public tip."""
-    out = [secret]
-    for k in range(depth):
-        out.append(hashlib.sha3_256(namespace + (k + 1).to_bytes(4, "little") + out[-1]).digest())
-    return out
-
-
-def fuse_fits(preimage: bytes, remaining: int, namespace: bytes, tip: bytes) -> bool:
-    return hashlib.sha3_256(namespace + (remaining).to_bytes(4, "little") + preimage).digest() == tip

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.model import table_of
+
 #: Names of trailer sections.
 SECTIONS = ("PMSG", "ENGR", "TOTP", "PKEY", "FBOX", "CLAM", "PART", "ARCV")
 MOST_WRAPS, MOST_VARIANTS, MOST_REFS = 16, 8, 32
@@ -131,3 +133,59 @@ def vault_size(keys: Column) -> Column:
 def commitment(*fields: Column) -> Column:
     """Hash over fields that may not change; mutable ones are left out by the caller."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256)
+
+
+_PARTS = {"wraps": "type int, body binary", "variants": "name string, type int, offset long, size long", "refs": "hash binary, kind int"}
+WRAP_SET = T.StructType([T.StructField(name, T.ArrayType(table_of(columns))) for name, columns in _PARTS.items()])
+
+
+def _each(values: pd.Series, read) -> pd.Series:
+    """read of each value; null for null and for what read refuses."""
+
+    def one(x):
+        try:
+            return None if x is None else read(bytes(x))
+        except ValueError:
+            return None
+
+    return values.map(one)
+
+
+@F.pandas_udf(WRAP_SET)
+def wrap_sets(values: pd.Series) -> pd.DataFrame:
+    """Wraps, variants and references of serialised wrap sets."""
+    found = [read_wraps(bytes(x)) if x is not None else dict.fromkeys(("wraps", "variants", "refs")) for x in values]
+    names = {part: table_of(columns).names for part, columns in _PARTS.items()}
+    return pd.DataFrame({part: [None if r[part] is None else [dict(zip(fields, x, strict=True)) for x in r[part]] for r in found] for part, fields in names.items()})
+
+
+@F.pandas_udf(table_of("epoch long, window long, uses int, claims binary"))
+def tokens(values: pd.Series) -> pd.DataFrame:
+    """Fields of tokens; all null for what is none."""
+    found = _each(values, read_token)
+    return pd.DataFrame([x or (None,) * 4 for x in found], columns=["epoch", "window", "uses", "claims"]).astype({"epoch": "Int64", "window": "Int64", "uses": "Int32"})
+
+
+@F.pandas_udf(T.BinaryType())
+def token_of(epochs: pd.Series, windows: pd.Series, uses: pd.Series, claims: pd.Series) -> pd.Series:
+    return pd.Series([write_token(int(e), int(w), int(u), bytes(c or b"")) for e, w, u, c in zip(epochs, windows, uses, claims, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def one_time_codes(secrets: pd.Series, seconds: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else one_time_code(bytes(s), int(at)) for s, at in zip(secrets, seconds, strict=True)])
+
+
+@F.pandas_udf(T.BooleanType())
+def codes_fit(secrets: pd.Series, codes: pd.Series, seconds: pd.Series) -> pd.Series:
+    return pd.Series([s is not None and c is not None and code_fits(bytes(s), c, int(at)) for s, c, at in zip(secrets, codes, seconds, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def shuffled(payloads: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else shuffle_blocks(bytes(x), bytes(k)) for x, k in zip(payloads, keys, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def unshuffled(payloads: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else unshuffle_blocks(bytes(x), bytes(k)) for x, k in zip(payloads, keys, strict=True)])

@@ -51,15 +51,15 @@ FILM_CURVES = {
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
-def _table(columns: str) -> T.StructType:
+def table_of(columns: str) -> T.StructType:
     """Without a session, which a DDL string would need."""
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
-ASSETS = _table("idx long, path string, offset long, stored_size long, original_size long, flags int, wrap_type int, grp string, hash binary")
-LOG_ENTRIES = _table(
+ASSETS = table_of("idx long, path string, offset long, stored_size long, original_size long, flags int, wrap_type int, grp string, hash binary")
+LOG_ENTRIES = table_of(
     "log string, type int, version int, flags int, sequence long, timestamp long, content_type int, layer_flags int, wrap_count int, original_size long, stored_size long, collection_id binary, collection_seq long, content_hash binary, prev_hash binary"
 )
-ARCHIVE_ENTRIES = _table("archive string, idx int, path string, size long, compressed_size long, mtime long, crc32 long, permissions int, method int, is_dir boolean, encrypted boolean, symlink boolean, content binary")
-CONTAINERS = _table("path string, version int, type_code int, layer_flags int, payload_size long, original_size long, meta_size long, hash binary, meta binary, payload binary, intact boolean")
-VOLUME_ASSETS = _table("volume string, idx int, path string, offset long, stored_size long, original_size long, flags int, wrap_type int, grp int, hash binary, content binary")
+ARCHIVE_ENTRIES = table_of("archive string, idx int, path string, size long, compressed_size long, mtime long, crc32 long, permissions int, method int, is_dir boolean, encrypted boolean, symlink boolean, content binary")
+CONTAINERS = table_of("path string, version int, type_code int, layer_flags int, payload_size long, original_size long, meta_size long, hash binary, meta binary, payload binary, intact boolean")
+VOLUME_ASSETS = table_of("volume string, idx int, path string, offset long, stored_size long, original_size long, flags int, wrap_type int, grp int, hash binary, content binary")

@@ -37,6 +37,45 @@ def format_of_file(path: Column, content: Column) -> Column:
     return F.coalesce(format_of_content(content), format_of_path(path), F.lit("unknown"))
 
 
+def format_of_name(name: Column) -> Column:
+    """Format by its own name, or by the end of a path, without regard to case."""
+    lower = F.lower(name)
+    found = F.when(lower.isin("zip", "tar", "7z", "rar", "tar.gz", "tar.bz2", "tar.xz"), lower).when(lower == "tgz", "tar.gz").when(lower.isin("cute", "container"), "container")
+    for end, format_name in ((".tar.gz", "tar.gz"), (".tgz", "tar.gz"), (".tar.bz2", "tar.bz2"), (".tbz2", "tar.bz2"), (".tar.xz", "tar.xz"), (".txz", "tar.xz"), (".cute", "container"), *[(f".{x}", x) for x in ("zip", "tar", "7z", "rar")]):
+        found = found.when(lower.endswith(end), format_name)
+    return F.coalesce(found, F.lit("unknown"))
+
+
+def to_dos(at: Column) -> list[Column]:
+    """dos_date, dos_time of a timestamp in the session's time zone, to two seconds; what is before 1980 is its first day."""
+    early = F.year(at) < 1980
+    date = (F.year(at) - 1980) * 512 + F.month(at) * 32 + F.dayofmonth(at)
+    time = F.hour(at) * 2048 + F.minute(at) * 32 + F.floor(F.second(at) / 2)
+    return [F.when(early, 33).otherwise(date).cast("int").alias("dos_date"), F.when(early, 0).otherwise(time).cast("int").alias("dos_time")]
+
+
+def from_dos(date: Column, time: Column) -> Column:
+    """Timestamp in the session's time zone."""
+    part = lambda c, shift, mask: F.shiftright(c, shift).bitwiseAND(mask)
+    return F.make_timestamp(part(date, 9, 127) + 1980, part(date, 5, 15), part(date, 0, 31), part(time, 11, 31), part(time, 5, 63), part(time, 0, 31) * 2)
+
+
+def entry_at(entries: DataFrame, idx: int) -> DataFrame:
+    """The entry of a place in each archive's directory."""
+    return entries.where(F.col("idx") == idx)
+
+
+def convert(spark, source: str, target: str, format_name: str) -> None:
+    """Writes the entries of an archive, or of a folder of archives, as archives of another format."""
+    entries = spark.read.format("archive").load(source).where("not symlink and not encrypted")
+    entries.write.format("archive").option("format", format_name).mode("append").save(target)
+
+
+def extract_to(entries: DataFrame, target: str) -> None:
+    """Writes the contents of safe entries as files below a folder, with their mode bits."""
+    safe(entries).where("not is_dir and content is not null").select("path", "content", "permissions").write.format("files").mode("append").save(target)
+
+
 def find(entries: DataFrame, path: str) -> DataFrame:
     return entries.where(F.col("path") == path).orderBy("archive", "idx").limit(1)
 

@@ -11,6 +11,11 @@ def find_first(assets: DataFrame, path: str) -> DataFrame:
     return assets.where(F.col("path") == path).orderBy("idx").limit(1)
 
 
+def asset_at(assets: DataFrame, idx: int) -> DataFrame:
+    """The asset of a place in the manifest."""
+    return assets.where(F.col("idx") == idx)
+
+
 def _capped(found: DataFrame, most: int | None) -> DataFrame:
     return found.orderBy("idx").limit(most) if most is not None else found
 

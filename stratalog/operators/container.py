@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.model import COMPRESSED, CONTAINER_MAGIC, CONTENT_TYPES, ENCRYPTED, IMAGE_MAGIC, PRESS_MAGIC, WRAPS_OF_EXTENSIONS
+from stratalog.model import COMPRESSED, CONTAINER_MAGIC, CONTENT_TYPES, ENCRYPTED, IMAGE_MAGIC, PRESS_MAGIC, WRAP_TYPES, WRAPS_OF_EXTENSIONS
 from stratalog.operators.archive import extension
 
 
@@ -42,6 +42,31 @@ def header(files: DataFrame) -> DataFrame:
     )
 
 
+def wrap_type_name(code: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in WRAP_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, code.cast("int")), F.lit("unknown"))
+
+
+def wrap_find(wraps: Column, code: int) -> Column:
+    """The first wrap of a type in an array of structs (type, body), null without one."""
+    return F.get(F.filter(wraps, lambda w: w["type"] == code), F.lit(0))
+
+
+def press_info(files: DataFrame) -> DataFrame:
+    """path, original_size, ratio of compressed streams; 0 for files that are none."""
+    c = F.col("content")
+    known = (F.octet_length(c) >= 16) & (F.substring(c, 1, 4) == F.lit(PRESS_MAGIC)) & little_endian(c, 4, 1).isin(1, 2)
+    size = F.when(known, little_endian(c, 8, 8)).otherwise(0)
+    return files.select("path", size.alias("original_size"), F.when(size > 0, F.octet_length(c) / size).alias("ratio"))
+
+
+def summary(headers: DataFrame) -> DataFrame:
+    """path, text: a line for people about each container."""
+    kinds = F.concat_ws(", ", F.col("type"), F.when(F.col("compressed"), "compressed"), F.when(F.col("encrypted"), "encrypted"))
+    sizes = F.concat(F.col("payload_size").cast("string"), F.lit(" of "), F.col("original_size").cast("string"), F.lit(" bytes"))
+    return headers.select("path", F.concat(F.lit("version "), F.col("version").cast("string"), F.lit(", "), kinds, F.lit(", "), sizes).alias("text"))
+
+
 def wraps_of(path: Column) -> Column:
     """Default wraps of a path by its extension, null if there are none. The file isn't opened."""
     of = F.create_map(*[F.lit(x) for wraps, all_of in WRAPS_OF_EXTENSIONS.items() for e in all_of.split() for x in (e, wraps)])

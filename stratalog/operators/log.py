@@ -76,6 +76,11 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return sequenced(both, "__part", "sequence").drop("__part")
 
 
+def merged_chain(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both logs as one whose chain is built anew over the new numbers."""
+    return chained(merge(first.drop("body", "prev_hash"), second.drop("body", "prev_hash")))
+
+
 def carried(entries: DataFrame, *columns: str) -> DataFrame:
     """entries with nulls of columns filled from the last entry of the log that has a value."""
     upto = Window.partitionBy("log").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)

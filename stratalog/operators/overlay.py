@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,5 +38,15 @@ def listing(overlay: DataFrame, folder: str) -> DataFrame:
     return overlay.where(F.col("path").startswith(folder) & ~name.startswith("."))
 
 
+#: The folders of an overlay.
+FOLDERS = ("saves", "config", "mods", "cache", "logs")
+
+
+def folder_of(volume_path: Column, bundle: Column, base: str) -> Column:
+    """Where a volume's overlay lies below a base folder: under its bundle's name, or else its file's."""
+    name = F.coalesce(F.nullif(bundle, F.lit("")), F.substring_index(volume_path, "/", -1))
+    return F.when(name != "", F.concat(F.lit(base.rstrip("/") + "/"), name))
+
+
 def size(overlay: DataFrame, *by: str) -> DataFrame:
     return overlay.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))

@@ -50,5 +50,7 @@ def ledger(spark: SparkSession, sf_dir: str, length: int = 30 * 86400) -> DataFr
 
 
 def pixels(spark: SparkSession, sf_dir: str, bands: int = 16) -> DataFrame:
-    """The first components of embeddings as the bands of pixels."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pixel"), F.slice("embedding", 1, bands).alias("bands"))
+    """Embeddings as pixels, one for each so many components: vec_id times the pixels in a vector, and the pixel's place in it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(F.size("embedding") / bands).cast("int").alias("parts"))
+    parts = e.select("vec_id", "embedding", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return parts.select((F.col("vec_id") * F.col("parts") + F.col("part")).alias("pixel"), F.slice("embedding", F.col("part") * bands + 1, F.lit(bands)).alias("bands"))

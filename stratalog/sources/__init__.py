@@ -4,9 +4,10 @@ from pyspark.sql import SparkSession
 
 from stratalog.sources.archives import ArchiveSource
 from stratalog.sources.containers import ContainerSource, VolumeSource
+from stratalog.sources.extract import FilesSink
 from stratalog.sources.logs import RailSource
 
-ALL = (ArchiveSource, ContainerSource, VolumeSource, RailSource)
+ALL = (ArchiveSource, ContainerSource, VolumeSource, RailSource, FilesSink)
 
 
 def register(spark: SparkSession) -> None:

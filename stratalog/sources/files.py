@@ -25,3 +25,32 @@ def read(path: str, name: str) -> bytes:
     files, _ = opened(path)
     with files.open_input_stream(name, compression=None) as f:
         return f.read()
+
+
+def tail(path: str, name: str, foot: int, size_of) -> bytes:
+    """The end of a file whose last foot bytes tell how many belong to it; no more is read."""
+    files, _ = opened(path)
+    with files.open_input_file(name) as f:
+        size = f.size()
+        f.seek(max(0, size - foot))
+        last = f.read(foot)
+        f.seek(max(0, size - size_of(last)))
+        return f.read()
+
+
+def publish(path: str, moves: list[tuple[str, str]], overwrite: bool) -> None:
+    """Gives written files their names; with overwrite, what was there before goes afterwards."""
+    files, own = opened(path)
+    old = [x.path for x in files.get_file_info(fs.FileSelector(own, recursive=True, allow_not_found=True)) if x.type == fs.FileType.File and "/_" not in x.path[len(own) :]] if overwrite else []
+    for temporary, final in moves:
+        files.create_dir(final.rsplit("/", 1)[0], recursive=True)
+        files.move(temporary, final)
+    for name in set(old) - {final for _, final in moves}:
+        files.delete_file(name)
+
+
+def below(path: str, folder: str) -> list[tuple[str, str]]:
+    """Files in a folder, with their paths from there."""
+    files, _ = opened(path)
+    found = files.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+    return [(x.path, x.path[len(folder) + 1 :]) for x in found if x.type == fs.FileType.File]

@@ -6,12 +6,12 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from stratalog.model import LOG_ENTRIES, LOG_MAGIC
 from stratalog.sources.archives import OneFile, Written
-from stratalog.sources.files import listed, opened, read
+from stratalog.sources.files import listed, opened, publish, tail
 
 #: Layout of an entry's 128 bytes.
 ENTRY = struct.Struct("<BBHIQBxHHxxQQ16sI32s8s28x")
@@ -42,21 +42,37 @@ def read_rail(data: bytes) -> Iterator[tuple]:
         yield ENTRY.unpack_from(data, start + HEAD.size + i * ENTRY.size)
 
 
+def rail_size(foot: bytes) -> int:
+    return FOOT.unpack(foot)[1] if len(foot) == FOOT.size and foot[:4] == LOG_MAGIC else len(foot)
+
+
 class RailReader(DataSourceReader):
+    """Reads the rail at a file's end and nothing before it; takes equality filters on type and sequence for itself."""
+
     def __init__(self, path: str):
         self.path = path
+        self.equal: dict[int, int] = {}
+
+    def pushFilters(self, filters: list[Filter]):
+        places = {("type",): 0, ("sequence",): 3}
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in places and places[f.attribute] not in self.equal:
+                self.equal[places[f.attribute]] = f.value
+            else:
+                yield f
 
     def partitions(self) -> list[OneFile]:
         return [OneFile(name) for name, _ in listed(self.path)]
 
     def read(self, partition: OneFile) -> Iterator[tuple]:
-        for e in read_rail(read(self.path, partition.name)):
-            yield (partition.name, *e)
+        for e in read_rail(tail(self.path, partition.name, FOOT.size, rail_size)):
+            if all(e[i] == value for i, value in self.equal.items()):
+                yield (partition.name, *e)
 
 
 class RailWriter(DataSourceWriter):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: list[str], overwrite: bool):
+        self.path, self.names, self.overwrite = path, names, overwrite
 
     def write(self, rows: Iterator) -> Written:
         files, own = opened(self.path)
@@ -72,10 +88,7 @@ class RailWriter(DataSourceWriter):
         return Written(temporary, final)
 
     def commit(self, messages: list) -> None:
-        files, _ = opened(self.path)
-        for m in messages:
-            if m:
-                files.move(m.temporary, m.final)
+        publish(self.path, [(m.temporary, m.final) for m in messages if m], self.overwrite)
 
     def abort(self, messages: list) -> None:
         files, _ = opened(self.path)
@@ -96,4 +109,4 @@ class RailSource(DataSource):
         return RailReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> RailWriter:
-        return RailWriter(self.options["path"], schema.names)
+        return RailWriter(self.options["path"], schema.names, overwrite)

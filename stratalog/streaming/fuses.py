@@ -7,10 +7,12 @@ seen before gets the same answer and burns nothing. A key's state is its counter
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,3 +62,18 @@ def consume(attempts: DataFrame, *, fuses: int, epoch_seconds: int = 3600, valid
 def epoch_counts(attempts: DataFrame, *, epoch: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Attempts per key and epoch of a stream, once the watermark has passed the epoch."""
     return attempts.withWatermark("ts", late).groupBy("key", F.window("ts", epoch)).count().select("key", F.col("window.start").alias("epoch_start"), "count")
+
+
+def epoch_counts_of_stream(spark: SparkSession, folder: str, name: str, *columns: Column, epoch: str = "1 hour") -> DataFrame:
+    """key, epoch_start, count of the files called name in a folder, read as a stream to its end.
+
+    The result is what the last batch wrote, beside the stream's checkpoint in the folder that the session shares.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalog-")
+    place = f"{shared.rstrip('/')}/stratalog/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).select(*columns)
+    counted = rows.groupBy("key", F.window("ts", epoch)).count().select("key", F.col("window.start").alias("epoch_start"), "count")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/counts")
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/counts")

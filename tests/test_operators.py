@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import codecs, registry
 from stratalog.model import FILM_CURVES
-from stratalog.operators import archive, catalog, chunk, container, ledger, log, overlay, spectral
+from stratalog.operators import archive, catalog, chunk, container, ledger, locked, log, overlay, spectral
 
 
 def rows(df):
@@ -150,15 +150,14 @@ def test_normalised_frequencies_sum_up():
     assert set(codecs.normalise({}).values()) == {16}
 
 
-def test_fuse_chain():
-    chain = codecs.fuse_chain(b"secret", b"ns", 4)
-    tip = chain.pop()
-    for remaining in range(4, 0, -1):
-        preimage = chain.pop()
-        assert codecs.fuse_fits(preimage, remaining, b"ns", tip)
-        assert not codecs.fuse_fits(preimage, remaining, b"other", tip)
-        tip = preimage
-    assert hashlib.sha3_256(b"").digest() != tip
+def test_fuse_chain(spark):
+    chain = locked.fuse_chain(F.lit(b"secret"), 4)
+    child, kept = locked.fuse_split(chain, 1)
+    row = spark.range(1).select(chain.alias("c"), child.alias("child"), kept.alias("kept"), locked.fuse_fits(F.get(chain, F.lit(3)), F.get(chain, F.lit(4))).alias("fits"), locked.fuse_fits(F.get(chain, F.lit(2)), F.get(chain, F.lit(4))).alias("skips")).first()
+    want = [hashlib.sha256(b"secret").hexdigest()]
+    for _ in range(4):
+        want.append(hashlib.sha256(want[-1].encode()).hexdigest())
+    assert row.c == want and row.child == want[3:] and row.kept == want[:4] and row.fits and not row.skips
 
 
 def test_registry(spark):
