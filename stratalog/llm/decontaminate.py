@@ -4,14 +4,14 @@ Words are runs of letters and digits, lower-cased. An item is its sequence of sh
 (of all its words, if it has fewer). A document's windows have as many words as an item; where the
 document has fewer, all of it is its one window. Each window and item has a 64-bit SimHash of its shingles, weighted by how often they occur in it; a
 multi-index over BLOCKS blocks of the fingerprint finds every item within RADIUS bits of a window: by the
-pigeonhole principle one block differs by at most RADIUS // BLOCKS bits, and tables hold for each
+pigeonhole principle one block differs by at most RADIUS // BLOCKS bits, and postings hold for each
 value of a block the items so near. Candidates are verified by the weighted Jaccard similarity of
 their shingles, sum of min over sum of max, which must reach the threshold.
 
 Windows without any shingle of an item that they are compared with have similarity 0 and are not fingerprinted.
 
-Items are broadcast in groups of at most GROUP_BYTES of text, each group with a pass of its own, so
-that a benchmark of any size works and no broadcast grows with it.
+Items are broadcast in groups of at most GROUP_BYTES of text (an item is a group at least), each group with
+a pass of its own, so that a benchmark of any size works and no broadcast grows with it.
 
 Defined cases: null and empty texts and items without words match nothing; repeated items and
 documents give rows of their own ids, equal rows once; empty tables give no rows; rows with a null id
@@ -21,7 +21,6 @@ are left out; other columns are passed over.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +34,7 @@ from stratalog.llm.shingles import hashes, rolling
 
 WORD = re.compile(r"[^\W_]+")
 BLOCKS, RADIUS = 8, 24
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
 SIZE = 5
 
 _BITS = np.arange(64, dtype=np.uint64)
@@ -52,9 +51,13 @@ def fingerprint(total: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=-1, bitorder="little").view(np.uint64).ravel()
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    both = sum((a & b).values())
-    return both / (sum(a.values()) + sum(b.values()) - both)
+def similarity(window: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> float:
+    """Sum of min over sum of max of how often the shingles occur in a window and in an item (sorted tokens, counts)."""
+    token, count = np.unique(window, return_counts=True)
+    at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+    same = tokens[at] == token
+    both = int(np.minimum(count[same], counts[at[same]]).sum())
+    return both / (len(window) + int(counts.sum()) - both)
 
 
 @dataclass
@@ -67,20 +70,26 @@ class ItemsOfSize:
 
     def index(self) -> None:
         self.size = min(SIZE, self.words)
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
+        self.counts = [np.unique(s, return_counts=True) for s in self.shingles]
         self.known = np.unique(np.concatenate(self.shingles))
         self.prints = np.concatenate([fingerprint(signs(s).sum(0, dtype=np.int64)[None]) for s in self.shingles])
         blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        #: block -> value -> items with a near value
-        self.near = np.stack([_NEAR[:, blocks[:, b]] for b in range(BLOCKS)])
+        #: for each block the postings of each of its values: the items with a near value there, and where each value's begin
+        self.postings = []
+        for b in range(BLOCKS):
+            value, item = np.nonzero(_NEAR[:, blocks[:, b]])
+            self.postings.append((item, np.searchsorted(value, np.arange(257))))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of windows and items within RADIUS bits of each other: all of them."""
-        values = prints.view(np.uint8).reshape(-1, BLOCKS)
-        met = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            met |= self.near[b][values[:, b]]
-        w, i = np.nonzero(met)
+        values = prints.view(np.uint8).reshape(-1, BLOCKS).astype(np.int64)
+        found = []
+        for b, (items, starts) in enumerate(self.postings):
+            low, many = starts[values[:, b]], starts[values[:, b] + 1] - starts[values[:, b]]
+            window = np.repeat(np.arange(len(prints)), many)
+            place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            found.append(window * len(self.ids) + items[place])
+        w, i = np.divmod(np.unique(np.concatenate(found)), len(self.ids))
         apart = np.bitwise_count(prints[w] ^ self.prints[i])
         return w[apart <= RADIUS], i[apart <= RADIUS]
 
@@ -131,7 +140,7 @@ def windows_like(text: str, by_size: list[ItemsOfSize], every: dict[int, np.ndar
                 np.cumsum(signs(g[start : end + n]), axis=0, out=total[1:])
                 w, items = own.candidates(fingerprint(total[n:] - total[:-n]))
                 for k, i in zip((w + start).tolist(), items.tolist(), strict=True):
-                    s = similarity(Counter(g[k : k + n].tolist()), own.counts[i])
+                    s = similarity(g[k : k + n], *own.counts[i])
                     if s >= threshold and s > best.get(i, (0.0, 0))[0]:
                         best[i] = s, k
         for i, (s, k) in best.items():
