@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -240,6 +242,30 @@ def test_leaks_shorter_than_an_item(spark):
     assert sorted(r.doc_id for r in decontaminate.without_contaminated(df, bench).collect()) == [5, 6, 7, 9, 10]
 
 
+def test_leaks_against_every_window(spark, sf_dir):
+    """The query's pairs are those that comparing every window with every item of its size gives."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    sought = {i: (len(words(t)), Counter(grams(words(t)))) for i, t in items.items() if words(t)}
+    want = {}
+    for d, t in texts.items():
+        w = words(t)
+        every = grams(w) if w else []
+        for i, (size, counts) in sought.items():
+            n = min(size - 4, len(every)) if size >= 5 else 1
+            hits = [k for k, x in enumerate(every) if x in counts]
+            for start in {s for k in hits for s in range(max(0, k - n + 1), min(k, len(every) - n) + 1)}:
+                own = Counter(every[start : start + n])
+                both = sum((own & counts).values())
+                score = both / (sum(own.values()) + sum(counts.values()) - both)
+                if score >= 0.75:
+                    want[d, i] = max(want.get((d, i), 0), score)
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op7_decontaminate(spark, sf_dir).collect()}
+    assert got == pytest.approx(want) and len(want) >= 3
+
+
 def test_leaks_in_small_groups(spark, monkeypatch, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {tuple(r) for r in decontaminate.find_contamination(d, b).collect()}

@@ -1,6 +1,7 @@
 """SentencePiece, personal data, chat formatting and URL filter on hard cases."""
 
 import array
+import random
 import re
 
 import pytest
@@ -100,12 +101,48 @@ def test_secrets_are_found_and_words_are_not(spark):
         assert all(r.text[s.start : s.end].startswith("0123") for s in r.spans)
 
 
+def test_added_spans_against_planted_secrets(spark):
+    """Recall and precision of the spans that the method adds, over planted secrets of many forms and things that look like them."""
+    r = random.Random(11)
+    letters, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    secrets = [lambda: "ghp_" + some(letters, 36), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + "7", lambda: some(hexes, 39) + "7", lambda: "sk-" + some(letters, 30) + "aZ7", lambda: some(hexes, 31) + "9"]
+    plain = [
+        lambda: "-".join(some("abcdefghij", 6) for _ in range(4)), lambda: some("ABCDEFGHIJ", 24), lambda: "chapter-" + some("abcdefgh", 14) + "-2", lambda: "https://a.org/" + some("abcdef", 9) + "/" + some("abcdef", 8),
+        lambda: "in 2024 and 1999", lambda: "vol_" + some("abcdefghij", 18), lambda: "1234 words",
+    ]
+    cues = ['token = "{}"', "secret: {}", "api key {}", "password={}", "auth {}"]
+    rows, planted = [], {}
+    for i in range(1500):
+        if i % 3 == 0:
+            value = r.choice(secrets)()
+            text = "some words before " + r.choice(cues).format(value) + " and after"
+            planted[i] = (text.index(value), text.index(value) + len(value))
+        else:
+            text = f"some words {r.choice(plain)()} and {r.choice(plain)()} after"
+        rows.append((i, text))
+    found = {}
+    for row in personal_data.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[row.doc_id] = [(s.start, s.end) for s in row.spans if personal_data.KINDS[s.k] in ("secret", "id")]
+    hit = sum(planted[i] in found[i] for i in planted)
+    said = sum(map(len, found.values()))
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * said
+
+
 def test_reliabilities_follow_the_votes():
     counts = {(4, (1, 0, 1)): 900.0, (4, (-1, 0, 0)): 1000.0, (4, (-1, 0, -1)): 500.0, (0, (1, 1, 0)): 100.0}
     prior, reliability = personal_data.estimate(counts)
     assert personal_data.posterior(prior, reliability, 4, (1, 0, 1)) > 0.9 > 0.1 > personal_data.posterior(prior, reliability, 4, (-1, 0, -1))
 
 
+def test_columns_with_clashing_names_stay(spark):
+    names = ["base", "spans", "candidates", "apart", "__base", "__more", "__spans", "__checked", "__apart", "a.b"]
+    docs = spark.createDataFrame([(1, "mail a@b.com", *names), (2, None, *names)], ["doc_id", "text", *names])
+    got = personal_data.redact(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(1, "mail [EMAIL]", *names), (2, None, *names)}
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.com now", 9, "x"), (2, None, 0, "x"), (3, "nothing", 7, "x"), (4, "10.0.0.1", 8, None), (5, "", 0, None)]
     out = personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string, base int, spans string"))
