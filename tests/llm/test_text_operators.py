@@ -215,6 +215,20 @@ def test_bloom_filter_drops_only_what_is_not_listed(spark):
     assert ids.issuperset(range(3000)) and len(ids) < 3000 + 0.05 * 27_000
 
 
+def test_long_listing_without_broadcast(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None)}
+    try:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, "-1")
+        listing = spark.range(50_000).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+        pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://h7.net/x").otherwise(F.concat(F.lit("http://h"), F.col("id") * 50, F.lit(".net/"))).alias("url"))
+        got = url_filter.filter_urls(pages, url_filter.entries(spark, queries.RULES), listing).collect()
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+    assert len(got) == 3000 and all((r.verdict == "block") == (r.page_id % 3 == 0 or r.page_id * 50 < 50_000) for r in got)
+
+
 def test_crowded_filter_stays_exact(spark):
     listing = url_filter.entries(spark, [(f"h{i}.net", "/", "block") for i in range(500)])
     pages = spark.createDataFrame([(i, f"http://h{i}.net/x") for i in range(1000)], "page_id long, url string")
