@@ -224,35 +224,34 @@ def _archives(rows: DataFrame) -> int:
     return max(1, min(TASKS, rows.select("archive").distinct().count()))
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Reads each record of index by its offset and length, in whatever order; the digest is taken again from the payload."""
+def read_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Reads all records of archives (archive) by the offsets and lengths in the index file beside each; digests are taken again from the payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
-        name, file = None, None
         for batch in batches:
-            rows = []
-            for archive, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if archive != name:
-                    if file is not None:
-                        file.close()
-                    name, file = archive, files.open_input_file(f"{path}/{archive}")
-                file.seek(offset)
-                data = gzip.decompress(file.read(length))
-                ((headers, block),) = RecordReader(iter([data]))
-                page = int(headers["WARC-Record-ID"].strip("<>").rsplit(":", 1)[1])
-                digest, size = headers["WARC-Payload-Digest"][5:], int(headers["WARC-Payload-Length"])
-                refers = headers.get("WARC-Refers-To")
-                if refers is None and (payload_digest(block) != digest or len(block) != size):
-                    raise ValueError(f"the payload of page {page} is not what its record says")
-                rows.append((page, size, digest, headers["WARC-Type"], refers and int(refers.strip("<>").rsplit(":", 1)[1]), archive, offset, length))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], _READ.names)
-        if file is not None:
-            file.close()
-
-    placed = index.select("archive", "offset", "length").repartition(_archives(index), "archive").sortWithinPartitions("archive", "offset")
-    return placed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+            for archive in batch.column(0).to_pylist():
+                rows = []
+                with files.open_input_stream(f"{path}/{archive}.index.jsonl", compression=None) as side:
+                    index = [json.loads(line) for line in side.read().splitlines()]
+                with files.open_input_file(f"{path}/{archive}") as file:
+                    for x in index:
+                        file.seek(x["offset"])
+                        data = gzip.decompress(file.read(x["length"]))
+                        ((headers, block),) = RecordReader(iter([data]))
+                        page = int(headers["WARC-Record-ID"].strip("<>").rsplit(":", 1)[1])
+                        digest, size = headers["WARC-Payload-Digest"][5:], int(headers["WARC-Payload-Length"])
+                        refers = headers.get("WARC-Refers-To")
+                        if page != x["page_id"]:
+                            raise ValueError(f"the index of {archive} has page {x['page_id']} where page {page} is")
+                        if refers is None and (payload_digest(block) != digest or len(block) != size):
+                            raise ValueError(f"the payload of page {page} is not what its record says")
+                        rows.append((page, size, digest, headers["WARC-Type"], refers and int(refers.strip("<>").rsplit(":", 1)[1]), archive, x["offset"], x["length"]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], _READ.names)
+
+    names = archives.select("archive").distinct()
+    return names.repartition(_archives(names), "archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
 
 
 def archive_pages(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
@@ -260,5 +259,6 @@ def archive_pages(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     source, target = new_folder(spark, "warc-monolithic"), new_folder(spark, "warc")
     written = saved(write_monolithic(pages, source), "warc-written")
-    index = saved(normalise(saved(revisits(written, least_bytes), "warc-decisions"), source, target), "warc-index")
-    return read_archives(index, target)
+    # written as it comes: a retried task gives its archive another name, so no shuffle may stand between
+    rewritten = saved(normalise(saved(revisits(written, least_bytes), "warc-decisions"), source, target), "warc-rewritten")
+    return read_archives(rewritten, target)

@@ -354,6 +354,15 @@ def test_normalised_archives_are_reached_by_their_index(spark, tmp_path):
     assert [gzip.decompress(archive[r["offset"] : r["offset"] + r["length"]]) for r in rows] == [warc.record(h, b) for h, b in ((dict((k, v) for k, v in h.items() if k != "Content-Length"), b) for h, b in warc.RecordReader(iter([gzip.decompress(data)])))]
     assert gzip.decompress(archive) == gzip.decompress(data)
 
+    # reading goes by the index file: records that it doesn't name are not found, and one that names others' places is refused
+    names = spark.createDataFrame([(side.name.removesuffix(".index.jsonl"),)] * 2, "archive string")
+    assert sorted(r.offset for r in warc.read_archives(names, target).collect()) == [r["offset"] for r in rows]
+    side.write_text("".join(json.dumps(r) + "\n" for r in rows[:3]))
+    assert [r.page_id for r in warc.read_archives(names, target).collect()] == [r["page_id"] for r in rows[:3]]
+    side.write_text(json.dumps(rows[0] | {"page_id": -1}) + "\n")
+    with pytest.raises(Exception, match="where page"):
+        warc.read_archives(names, target).collect()
+
 
 def test_cut_archives_are_refused():
     data = warc.record({"WARC-Type": "response"}, b"abc")
