@@ -63,6 +63,17 @@ def test_jaccard_components(docs, monkeypatch, small):
     assert got == plain_components(texts)
 
 
+def test_jaccard_of_rows_with_one_id(spark):
+    """Of rows with one doc_id the largest set counts, wherever it stands; repeated rows change nothing."""
+    words = [f"w{i}" for i in range(40)]
+    long, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, long), (2, "short one"), (2, long + " end"), (2, None), (3, other), (3, other), (4, other + " x"), (4, "w1 w2 w3"), (5, "w1 w2 w3"), (6, ""), (6, "w1 w2 w3")]
+    texts = {i: max((t or "" for j, t in rows if j == i), key=lambda t: len(t.split())) for i, _ in rows}
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.link_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == 6 and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(texts)
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_join.link_documents(docs.limit(0)).collect() == []
 
