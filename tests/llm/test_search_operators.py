@@ -74,6 +74,15 @@ def test_jaccard_of_rows_with_one_id(spark):
         assert len(got) == 6 and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(texts)
 
 
+def test_jaccard_keeps_no_tables_that_are_used_up(docs):
+    """What was written for a step goes when the next is written, so that it doesn't add up on disk."""
+    before = set(common._WRITTEN)
+    found = jaccard_join.link_documents(docs)
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in set(common._WRITTEN) - before}
+    assert left.isdisjoint({"prefixes", "shared-tokens", "postings", "pivots", "candidates", "candidate-ids", "sets", "open-tokens", "open-lists", "bundles", "bundle-ids", "bundle-sets"})
+    assert found.count() == docs.select("doc_id").distinct().count()
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_join.link_documents(docs.limit(0)).collect() == []
 
