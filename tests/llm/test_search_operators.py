@@ -83,6 +83,25 @@ def test_jaccard_keeps_no_tables_that_are_used_up(docs):
     assert found.count() == docs.select("doc_id").distinct().count()
 
 
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    """Without waiting for the driver to collect its garbage, which it may do late or never."""
+    import time
+
+    def files():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in every.split("\n") if x.endswith(".data")}
+
+    rows = spark.range(50_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    before, setting = files(), spark.conf.get(common._CLEANUP)
+    found = common.saved(rows, "test-shuffles")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common._CLEANUP) == setting
+    assert found.agg(F.sum("n")).first()[0] == 50_000 and rows.count() == 7
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_join.link_documents(docs.limit(0)).collect() == []
 
