@@ -83,6 +83,19 @@ def test_jaccard_keeps_no_tables_that_are_used_up(docs):
     assert found.count() == docs.select("doc_id").distinct().count()
 
 
+def test_jaccard_deals_out_large_bundles_in_passes(docs, monkeypatch):
+    """Pairs of blocks grow with the square of a bundle; a pass holds a share of the input's shingles."""
+    for name, value in (("SHORT_LIST", 3), ("BUNDLE", 900), ("SHARE", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    names = []
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, name: (names.append(name), common.saved(df, name))[1])
+    before = set(common._WRITTEN)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs).collect()}
+    assert got == plain_components(dict(docs.where("doc_id <> 9004 or text = 'a b c d e'").select("doc_id", "text").collect()))
+    assert names.count("bundle-links") > 1
+    assert not any(x in path for path in set(common._WRITTEN) - before for x in ("bundle-links", "paired-links"))
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     """Without waiting for the driver to collect its garbage, which it may do late or never."""
     import time
